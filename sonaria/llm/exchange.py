@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import U64, is_in
-from sonaria.llm.common import kept, shared_dir
+from sonaria.llm.common import kept, partitions, shared_dir
 
 #: Two of a fingerprint are as good as many.
 MANY = 2
@@ -23,10 +23,20 @@ SOURCES = "t int, src int, keys binary, counts binary, weights binary"
 RUNS = "t int, kind int, keys binary, counts binary, weights binary"
 
 
-def u64(b: bytes) -> np.ndarray:
+def u64(b) -> np.ndarray:
     return np.frombuffer(b, U64)
 
 
+def blobs(column: pa.ChunkedArray) -> list[pa.Buffer | None]:
+    """A binary column's values without a copy."""
+    return [x.as_buffer() if x.is_valid else None for x in column]
+
+
+def buckets(spark: SparkSession) -> int:
+    """Buckets of texts, and ranges of hashes: as many as shuffle partitions, twice over, so that each is small."""
+    return 2 * partitions(spark)
+
+
 def range_ends(ranges: int) -> np.ndarray:
     """The first hash of each range but the first."""
     return np.array([(i << 64) // ranges + 1 for i in range(1, ranges)], dtype=U64)
@@ -69,7 +79,7 @@ def source_rows(src: int, keys: np.ndarray, counts: np.ndarray, weights: np.ndar
 
 def _arrays(t: pa.Table, of: str | None = None, equal: int | None = None) -> tuple[list, list, list]:
     rows = [i for i, x in enumerate(t[of].to_pylist()) if x == equal] if of else range(len(t))
-    k, c, w = t["keys"].to_pylist(), t["counts"].to_pylist(), t["weights"].to_pylist()
+    k, c, w = (blobs(t[x]) for x in ("keys", "counts", "weights"))
     return [u64(k[i]) for i in rows], [np.frombuffer(c[i], np.uint8) for i in rows], [np.frombuffer(w[i], np.uint64) for i in rows]
 
 
@@ -159,7 +169,7 @@ def _route(table: pa.Table) -> pa.Table:
     t = table["t"][0].as_py()
     keys, _, weights = merge(*_arrays(table, "src", -1))
     out = []
-    src, held = table["src"].to_pylist(), table["keys"].to_pylist()
+    src, held = table["src"].to_pylist(), blobs(table["keys"])
     for s, k in zip(src, held, strict=True):
         if s >= 0:
             k = u64(k)

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import SPACED, U64, Rolling, chunks, cover, distinct, flat, is_in, runs, winnow, word_values, words
-from sonaria.llm.common import bucket, kept, partitions
-from sonaria.llm.exchange import SOURCES, pieces, repeated, source_rows, u64
+from sonaria.llm.common import bucket, kept
+from sonaria.llm.exchange import SOURCES, blobs, buckets, pieces, repeated, source_rows, u64
 
 OUT = "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept string"
 SENT = "t int, src int, h1 binary, h2 binary, counts binary"
@@ -62,7 +62,7 @@ class _Candidates:
 
 
 def _keys(table: pa.Table) -> np.ndarray:
-    return np.sort(np.concatenate([np.zeros(0, U64), *(u64(k) for k in table["keys"].to_pylist() if k is not None)]))
+    return np.sort(np.concatenate([np.zeros(0, U64), *(u64(k) for k in blobs(table["keys"]) if k is not None)]))
 
 
 def _send(docs: pa.Table, side: pa.Table, window: int, gram: int, ranges: int) -> pa.Table:
@@ -78,11 +78,11 @@ def _send(docs: pa.Table, side: pa.Table, window: int, gram: int, ranges: int) -
 def _verify(table: pa.Table) -> pa.Table:
     """Which windows of a range occur at least twice, told to each bucket as bits in the order it sent them."""
     t = table["t"][0].as_py()
-    h1 = [u64(x) for x in table["h1"].to_pylist()]
+    h1 = [u64(x) for x in blobs(table["h1"])]
     size = [len(x) for x in h1]
     a = np.concatenate(h1)
-    b = np.concatenate([np.frombuffer(x, np.uint32) for x in table["h2"].to_pylist()])
-    n = np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()])
+    b = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs(table["h2"])])
+    n = np.concatenate([np.frombuffer(x, np.uint8) for x in blobs(table["counts"])])
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -156,7 +156,7 @@ def dedup(docs: DataFrame, window: int = 35, gram: int = 10, batches: int = 3) -
     text has no words; a text of fewer words than a window loses none; rows that are repeated whole remove each
     other's windows; a null doc_id stays null; an empty table gives an empty result.
     """
-    n = partitions(docs.sparkSession)
+    n = buckets(docs.sparkSession)
     d = docs.select(bucket(F.concat_ws(" ", F.xxhash64("doc_id"), F.xxhash64("text")), n).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sources = kept(d.groupBy("b").applyInArrow(lambda t: _fingerprints(t, window, gram, n), SOURCES), "sources")
     flagged = repeated(sources, batches)

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import BYTE_VALUES, U64, Rolling, chunks, cover, distinct, flat, is_in, winnow
-from sonaria.llm.common import bucket, kept, partitions
-from sonaria.llm.exchange import SOURCES, pieces, repeated, source_rows, u64
+from sonaria.llm.common import bucket, kept
+from sonaria.llm.exchange import SOURCES, blobs, buckets, pieces, repeated, source_rows, u64
 from sonaria.llm.substring_dedup import spans
 
 OUT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
@@ -32,7 +32,9 @@ SENT = "t int, src int, kind int, fp binary, size binary, h1 binary, h2 binary,
 SIDE = "src int, t int, kind int, keys binary, weights binary, a binary, b binary"
 FLAGGED, CONTEXTS, WINDOWS = 0, 1, 2
 #: Bytes of contexts whose suffixes are sorted at once.
-SORTED = 1 << 21
+SORTED = 1 << 19
+#: Bytes of texts that are hashed at once, longer texts apart.
+HASHED = 1 << 18
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -144,7 +146,7 @@ def _runs_of(least: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _fingerprints(table: pa.Table, length: int, gram: int, ranges: int) -> pa.Table:
     found, names, sizes = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for _, _, buf, offsets in chunks(*flat(table["text"])):
+    for _, _, buf, offsets in chunks(*flat(table["text"]), HASHED):
         least, bad, anchors = winnow(BYTE_VALUES[0][buf], offsets, length, gram)
         i, j = _runs_of(least, ~bad)
         for to, x in ((found, anchors), (names, least[i]), (sizes, j - i + length - 1)):
@@ -163,7 +165,7 @@ class _Contexts:
         self.parts, self.data = [], []
         fp, size, h1 = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
         w1, w2 = [np.zeros(0, U64)], [np.zeros(0, np.uint32)]
-        for i, j, buf, offsets in chunks(*flat(texts)):
+        for i, j, buf, offsets in chunks(*flat(texts), HASHED):
             values = BYTE_VALUES[0][buf]
             least, bad, _ = winnow(values, offsets, length, gram)
             use = ~bad & is_in(least, keys)
@@ -208,7 +210,7 @@ def _distinct_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _names(side: pa.Table, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(u64(k), np.frombuffer(w, np.uint64)) for k, w, kind in zip(side["keys"].to_pylist(), side["weights"].to_pylist(), side["kind"].to_pylist(), strict=True) if kind == FLAGGED]
+    rows = [(u64(k), np.frombuffer(w, np.uint64)) for k, w, kind in zip(blobs(side["keys"]), blobs(side["weights"]), side["kind"].to_pylist(), strict=True) if kind == FLAGGED]
     keys = np.concatenate([np.zeros(0, U64), *(k for k, _ in rows)])
     weights = np.concatenate([np.zeros(0, np.uint64), *(w for _, w in rows)])
     order = np.argsort(keys)
@@ -239,7 +241,7 @@ def _windows(rows: list[dict]) -> list[bytes]:
     n = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in rows])
     _, first, number = _distinct_rows(a, b)
     again = (np.bincount(number, n, len(first)) >= 2)[number]
-    return [np.packbits(x).tobytes() for x in np.split(again, np.cumsum([len(r["counts"]) for r in rows])[:-1])]
+    return [np.packbits(x).tobytes() for x in np.split(again, np.cumsum([r["counts"].size for r in rows])[:-1])]
 
 
 def _contexts(rows: list[dict], length: int) -> list[tuple[bytes, bytes]]:
@@ -250,7 +252,7 @@ def _contexts(rows: list[dict], length: int) -> list[tuple[bytes, bytes]]:
     n = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in rows])
     data = [np.frombuffer(r["data"], np.uint8) for r in rows]
     begin = np.concatenate([np.concatenate([[0], np.cumsum(np.frombuffer(r["size"], np.int64))[:-1]]) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r["counts"]) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), [r["counts"].size for r in rows])
     _, first, number = _distinct_rows(fp, size, h1)
     whole = np.bincount(number, n, len(first)) >= 2
     ranges: list[np.ndarray] = [np.array([[0, s]]) if w else np.zeros((0, 2), np.int64) for w, s in zip(whole, size[first], strict=True)]
@@ -291,7 +293,9 @@ def _solve(todo, first, size, begin, owner, data, whole, ranges, length) -> None
 
 
 def _verify(table: pa.Table, length: int) -> pa.Table:
-    rows = table.to_pylist()
+    names = table.column_names
+    columns = [table[x].to_pylist() if pa.types.is_integer(table[x].type) else blobs(table[x]) for x in names]
+    rows = [dict(zip(names, r, strict=True)) for r in zip(*columns, strict=True)]
     out = []
     if c := [r for r in rows if r["kind"] == CONTEXTS]:
         out += [(r["src"], r["t"], CONTEXTS, None, None, *x) for r, x in zip(c, _contexts(c, length), strict=True)]
@@ -345,7 +349,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 64, batches: int = 3,
     null; an empty table gives an empty result. `hot` bounds the bytes of one name that a task sorts; beyond it
     the windows of that name are compared by hash, with the same result.
     """
-    n = partitions(docs.sparkSession)
+    n = buckets(docs.sparkSession)
     d = docs.select(bucket(F.concat_ws(" ", F.xxhash64("doc_id"), F.xxhash64("text")), n).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sources = kept(d.groupBy("b").applyInArrow(lambda t: _fingerprints(t, length, gram, n), SOURCES), "sources")
     flagged = repeated(sources, batches)
