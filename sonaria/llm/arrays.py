@@ -169,6 +169,7 @@ def winnow(values: np.ndarray, offsets: np.ndarray, window: int, k: int, family:
     Returns (least, bad, anchors): the smallest hash of the k-grams of every
     window, which windows reach over the end of a text, and the hashes of all
     k-grams that are the smallest of some window, one for each position.
+    The smallest hashes crowd near 0, so they are mixed once more to spread.
     """
     n = len(values)
     if n < window:
@@ -180,7 +181,7 @@ def winnow(values: np.ndarray, offsets: np.ndarray, window: int, k: int, family:
     seen = np.where(bad, U64(0), least)
     pad = np.zeros(window - k, U64)
     most = sliding(np.concatenate([pad, seen, pad]), window - k + 1, np.maximum)
-    return least, bad, x[x == most]
+    return mix(least ^ U64(ODD[1])), bad, mix(x[x == most] ^ U64(ODD[1]))
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
