@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonaria.llm import decontaminate, mil, packing, quality, substring_dedup, suffix_dedup
+from sonaria.llm import decontaminate, hashing_search, mil, packing, pii, quality, substring_dedup, suffix_dedup
 from sonaria.llm.common import read
 
 
@@ -28,12 +28,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, space), 5, 0)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", _span_sum("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,5 +72,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op5_packing, op7_substring_dedup, op8_suffix_dedup, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_neighbours, op5_packing, op6_pseudonyms, op7_substring_dedup, op8_suffix_dedup, op9_toxicity, op10_decontamination)}
 SQL: dict[str, str] = {}
