@@ -33,8 +33,9 @@ def blobs(column: pa.ChunkedArray) -> list[pa.Buffer | None]:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Buckets of texts, and ranges of hashes: as many as shuffle partitions, twice over, so that each is small."""
-    return 2 * partitions(spark)
+    """Buckets of texts, and ranges of hashes: as many as shuffle partitions. A bucket and a range meet in one row, so
+    more of them would mean more and smaller rows."""
+    return partitions(spark)
 
 
 def range_ends(ranges: int) -> np.ndarray:
