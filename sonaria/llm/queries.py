@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonaria.llm import decontaminate, hashing_search, html_text, mil, packing, pii, quality, substring_dedup, suffix_dedup
+from sonaria.llm import decontaminate, hashing_search, html_text, jaccard_join, mil, packing, pii, quality, substring_dedup, suffix_dedup
 from sonaria.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     space = quality.train(docs, read(spark, sf_dir, "labels"), ~_held_out(5, 0))
@@ -76,5 +80,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op3_quality, op4_neighbours, op5_packing, op6_pseudonyms, op7_substring_dedup, op8_suffix_dedup, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_jaccard_join, op3_quality, op4_neighbours, op5_packing, op6_pseudonyms, op7_substring_dedup, op8_suffix_dedup, op9_toxicity, op10_decontamination)}
 SQL: dict[str, str] = {}
