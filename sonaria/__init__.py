@@ -1,0 +1 @@
+"""Sonaria: interval, frame-series and spectral analytics on Spark DataFrames."""
