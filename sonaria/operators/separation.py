@@ -173,7 +173,7 @@ def clean(audio: DataFrame, mask, calls: DataFrame | None = None) -> DataFrame:
 
 def murmurs(tracks: DataFrame, array: str = "samples", sr: str = "sr", key: str = "file", window_s: float = 0.25, share: float = 0.15, shortest: float = 0.3, gap: float = 0.3) -> DataFrame:
     """(key, start_s, end_s): stretches of a track louder than a share of its loudest window, joined over short gaps.
-    A track shorter than a window is one stretch; a silent one has none."""
+    A track shorter than a window is one stretch, and so is a silent one: every window then has the same least level."""
     size = F.greatest(F.lit(1), F.floor(F.lit(window_s) * F.col(sr))).cast("int")
     t = tracks.select(F.col(key).alias("file"), F.col(sr).alias("sr"), size.alias("size"), F.size(array).alias("n"), F.col(array).alias("x"))
     short = t.filter("n < size and n > 0").select("file", F.lit(0.0).alias("start_s"), (F.col("n") / F.col("sr")).alias("end_s"))
