@@ -79,11 +79,10 @@ def _bags(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
                     ["doc_id", "y", "features", "sentence"],
                 )
 
-    rows = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(pack, "doc_id long, y int, features binary, sentence binary").toArrow().sort_by("doc_id")
-    return [
-        (y, np.frombuffer(f, np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(s, np.int32))
-        for y, f, s in zip(rows["y"].to_pylist(), rows["features"].to_pylist(), rows["sentence"].to_pylist(), strict=True)
-    ]
+    rows = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(pack, "doc_id long, y int, features binary, sentence binary").toArrow()
+    ids, y = rows["doc_id"].to_numpy(), rows["y"].to_numpy()
+    features, sentence = ([x.as_buffer() for x in rows[c]] for c in ("features", "sentence"))  # views, no copies
+    return [(int(y[k]), np.frombuffer(features[k], np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(sentence[k], np.int32)) for k in np.argsort(ids, kind="stable")]
 
 
 class Model:
@@ -146,8 +145,9 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 30, batch:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 3000) -> Model:
-    """Fit on at most per_class documents of each label that the condition `usable` (on labels.doc_id) lets pass."""
+def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 2000) -> Model:
+    """Fit on at most per_class documents of each label that the condition `usable` (on labels.doc_id) lets pass.
+    The driver holds their features for the time of the fit."""
     return fit(_bags(_sampled(docs, labels, "toxic", usable, per_class)))
 
 
