@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonaria.llm import decontaminate, hashing_search, html_text, jaccard_join, mil, packing, pii, quality, substring_dedup, suffix_dedup
 from sonaria.llm.common import read
+from sonaria.llm.sql import SQL  # noqa: F401  registered beside QUERIES
 
 
 def _span_sum(spans: str):
@@ -81,4 +82,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_jaccard_join, op3_quality, op4_neighbours, op5_packing, op6_pseudonyms, op7_substring_dedup, op8_suffix_dedup, op9_toxicity, op10_decontamination)}
-SQL: dict[str, str] = {}
