@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,7 +24,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if "base" not in _own:
             _own["base"] = "file://" + tempfile.mkdtemp(prefix="shared-")
         base = _own["base"]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder. Results that were not yet acted on are lost."""
+    while _made:
+        drop_dir(spark, _made.pop())
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
