@@ -265,6 +265,11 @@ SQL = {
         more=GAPS + f""", per AS (SELECT file, sum(gap_end - gap_start) AS fw FROM gaps GROUP BY file), upto AS (SELECT file, sum(fw) OVER (ORDER BY file) - fw AS fb FROM per),
         placed AS (SELECT file, gap_start, gap_end - gap_start AS w, fb + sum(gap_end - gap_start) OVER (PARTITION BY file ORDER BY gap_start) - (gap_end - gap_start) AS lo FROM gaps JOIN upto USING (file)),
         draws AS (SELECT draw_id, {HASH.format("'u|' || draw_id")} AS u, {HASH.format("'v|' || draw_id")} AS v FROM (SELECT unnest(generate_series(0, 199)) AS draw_id))"""),
+    "collar_greedy_match": sql(
+        """SELECT file, len(taken)::BIGINT AS tp, (n - len(taken))::BIGINT AS fp, (coalesce(len(t), 0) - len(taken))::BIGINT AS fn FROM fold WHERE k = n""", "gt", "pred",
+        more="""tl AS (SELECT file, list({'i': id, 's': start_s, 'e': end_s} ORDER BY id) AS t FROM gt GROUP BY file), pl AS (SELECT file, list({'s': start_s, 'e': end_s} ORDER BY id) AS p FROM pred GROUP BY file),
+        fold AS (SELECT file, 0 AS k, []::BIGINT[] AS taken, t, p, coalesce(len(p), 0) AS n FROM tl FULL JOIN pl USING (file) UNION ALL SELECT file, k + 1, list_concat(taken, list_transform(list_filter(coalesce(t, []), lambda g: NOT list_contains(taken, g.i) AND
+            ((p[k + 1].s + p[k + 1].e) / 2 BETWEEN g.s - 3600 AND g.e + 3600 OR (g.s + g.e) / 2 BETWEEN p[k + 1].s - 3600 AND p[k + 1].e + 3600))[1:1], lambda g: g.i)), t, p, n FROM fold WHERE k < n)"""),
     "per_file_rollup": sql(
         """SELECT file, threshold, sum(least(n_overlaps, 1))::BIGINT AS tp, sum(1 - least(n_overlaps, 1))::BIGINT AS fn FROM (SELECT *, 0.5::DOUBLE AS threshold FROM counted) GROUP BY ROLLUP (threshold, file)""", "gt", "pred", more=COUNTED),
     "pr_f1_safe": sql(
