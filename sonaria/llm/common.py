@@ -51,6 +51,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame, each: int = 16 << 20) -> int:
+    """How many buckets of texts: the shuffle partitions, or more of them where, by the optimiser's estimate, a bucket
+    would exceed `each` bytes of input. A task takes its buckets one after another, so its memory doesn't grow."""
+    n = partitions(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, min(64 * n, size // each))
+
+
 def bucket(key: Column, n: int) -> Column:
     """A bucket of a text by its key: the same rows always meet the same bucket."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import SPACED, U64, Rolling, chunks, flat, mix, word_values, words
-from sonaria.llm.common import kept, partitions
+from sonaria.llm.common import buckets, kept
 from sonaria.llm.components import components
 
 HASHES, ROWS, STEP = 128, 4, 16
@@ -230,7 +230,6 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
     rows and equal texts are copies; different texts under one id count as connected. An empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
     least = least_matches(threshold, tolerance)
     signed = kept(_sign(docs, n), "signatures")
     sets = signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("node"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("low").alias("low"))
@@ -254,7 +253,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
     texts = placed.join(texts, ["u", "t"])
     each = texts.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     each = each.select(F.col("u").alias("node"), F.col("root").alias("cluster"), "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "t", "text")
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(4 * partitions(spark)))).otherwise(F.xxhash64("cluster", "i", "j"))
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(4 * buckets(docs)))).otherwise(F.xxhash64("cluster", "i", "j"))
     found = each.withColumn("g", group).groupBy("g").applyInArrow(lambda t: _verify(t, n, threshold, least), "node long, links long, root long")
     found = kept(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import BYTE_VALUES, U64, Rolling, chunks, cover, distinct, flat, is_in, winnow
-from sonaria.llm.common import bucket, kept
-from sonaria.llm.exchange import SOURCES, blobs, buckets, pieces, repeated, source_rows, u64
+from sonaria.llm.common import bucket, buckets, kept, partitions
+from sonaria.llm.exchange import SOURCES, blobs, pieces, repeated, source_rows, u64
 from sonaria.llm.substring_dedup import spans
 
 OUT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
@@ -349,8 +349,8 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 64, batches: int = 3,
     null; an empty table gives an empty result. `hot` bounds the bytes of one name that a task sorts; beyond it
     the windows of that name are compared by hash, with the same result.
     """
-    n = buckets(docs.sparkSession)
-    d = docs.select(bucket(F.concat_ws(" ", F.xxhash64("doc_id"), F.xxhash64("text")), n).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = partitions(docs.sparkSession)
+    d = docs.select(bucket(F.concat_ws(" ", F.xxhash64("doc_id"), F.xxhash64("text")), buckets(docs)).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sources = kept(d.groupBy("b").applyInArrow(lambda t: _fingerprints(t, length, gram, n), SOURCES), "sources")
     flagged = repeated(sources, batches)
     side = flagged.select("src", "t", F.lit(FLAGGED).alias("kind"), "keys", "weights", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
