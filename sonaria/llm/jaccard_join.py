@@ -1,7 +1,8 @@
 """Similarity self-join on word n-grams with Bayesian pruning.
 
-Every text is its set of `n`-word shingles; equal sets are one node, whatever
-the number of texts. Nodes whose MinHash signatures agree in a band are
+Every text is its set of `n`-word shingles, where words are letters and digits
+and A-Z count as a-z, so that marks and case make no difference; equal sets are
+one node, whatever the number of texts. Nodes whose MinHash signatures agree in a band are
 candidates. The signatures of a candidate pair are compared a few hashes at a
 time: under a uniform prior the posterior of the similarity after m of k
 matches is a Beta distribution, and the pair is dropped once the chance that
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaria.llm.arrays import SPACED, U64, Rolling, chunks, flat, mix, word_values, words
+from sonaria.llm.arrays import ALNUM, LOWER, U64, Rolling, chunks, flat, mix, word_values, words
 from sonaria.llm.common import buckets, kept
 from sonaria.llm.components import components
 
@@ -39,7 +40,8 @@ SEEDS = mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64
 def shingles(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each text in order, where each text's begin). A text of fewer than n words has
     one shingle of all its words, one without words has none."""
-    start, end, of = words(buf, offsets, SPACED)
+    buf = LOWER[buf]
+    start, end, of = words(buf, offsets, ALNUM)
     count = np.diff(of)
     r = Rolling(word_values(buf, start, end))
     size = np.where(count > 0, np.maximum(count - n + 1, 1), 0)

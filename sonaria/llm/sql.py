@@ -7,7 +7,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP2 = f"""WITH RECURSIVE
-    d AS (SELECT doc_id, {SPACED} AS w FROM documents),
+    d AS (SELECT doc_id, {ALNUM} AS w FROM documents),
     s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END)) AS g FROM d),
     sets AS (SELECT g, min(doc_id) AS node, count(*) AS n_copies FROM s WHERE len(g) > 0 GROUP BY g),
     e AS (SELECT node, len(g) AS size, unnest(g) AS x FROM sets),

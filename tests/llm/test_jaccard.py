@@ -8,7 +8,8 @@ from sonaria.llm import components, jaccard_join
 
 
 def grams(t, n=5):
-    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
@@ -60,7 +61,7 @@ def fixture(group):
     hot = r.choices(voc, k=150)
     texts += [edit(hot, r.choice((1, 2, 3, 5))) for _ in range(group)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, None), (None, rows[0][1]), (3, rows[3][1]), (9004, rows[5][1].replace(" ", "\n  ")), (9005, "a b"), (9006, "a b"), (9007, "x " * 4000)]
+    rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, None), (None, rows[0][1]), (3, rows[3][1]), (9004, rows[5][1].replace(" ", ",\n  ").upper()), (9005, "a b"), (9006, "a b"), (9007, "x " * 4000)]
     r.shuffle(rows)
     return rows
 
