@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonaria.functions.ordered import running_before
+
 ORDER = ("start_s", "end_s", "id")
 
 
@@ -168,13 +170,11 @@ def weighted_draws(gaps: DataFrame, draws: DataFrame, chunk: float) -> DataFrame
     """Draw free pieces in proportion to their length and a place inside. gaps: file, gap_start, gap_end. draws:
     draw_id, u, v (both in [0, 1)), which choose piece and place; the same draws give the same rows.
 
-    The running share comes in two steps, within files and over files, so only one row for each file meets in one
-    task."""
+    The running share comes in two steps, within files and over files, and the latter in ranges of files."""
     g = gaps.withColumn("w", F.col("gap_end") - F.col("gap_start"))
     per = g.groupBy("file").agg(F.sum("w").alias("file_w"))
-    upto = per.withColumn("file_end", F.sum("file_w").over(Window.orderBy("file")))
-    total = upto.agg(F.max("file_end").alias("total"))
-    upto = upto.withColumn("file_begin", F.col("file_end") - F.col("file_w"))
+    upto = running_before(per, "file", "file_w", "file_begin")
+    total = per.agg(F.sum("file_w").alias("total"))
     picked = draws.crossJoin(F.broadcast(total)).withColumn("x", F.col("u") * F.col("total"))
     inner = g.withColumn("upto", F.sum("w").over(Window.partitionBy("file").orderBy("gap_start"))).join(upto.select("file", "file_begin"), "file")
     inner = inner.select("file", "gap_start", "gap_end", "w", (F.col("file_begin") + F.col("upto") - F.col("w")).alias("lo"), (F.col("file_begin") + F.col("upto")).alias("hi"))

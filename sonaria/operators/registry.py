@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonaria import schemas
+from sonaria.functions.ordered import running_before
 
 #: A fixed value: how an individual found in a recording is named, by its position.
 ID_PREFIX = "Elephant_"
@@ -36,10 +37,8 @@ def missing_individuals(known: DataFrame, seen: DataFrame) -> DataFrame:
 def numbered(clips: DataFrame, last: Column | int, *order: str) -> DataFrame:
     """clips with clip_id from last + 1 on, in the given order within parents, parents by name.
 
-    Ids come from each parent's count and a running sum over parents, so only one row for each parent meets in one
-    task."""
-    per = clips.groupBy("parent_wav").agg(F.count("*").alias("n"))
-    base = per.withColumn("base", F.sum("n").over(Window.orderBy("parent_wav")) - F.col("n")).select("parent_wav", "base")
+    Ids come from each parent's count and a running sum over parents, so clips don't meet in one task."""
+    base = running_before(clips.groupBy("parent_wav").agg(F.count("*").alias("n")), "parent_wav", "n", "base").select("parent_wav", "base")
     k = F.row_number().over(Window.partitionBy("parent_wav").orderBy(*order))
     last = F.lit(last) if isinstance(last, int) else last
     return clips.withColumn("_k", k).join(base, "parent_wav").withColumn("clip_id", (last + F.col("base") + F.col("_k")).cast("long")).drop("_k", "base")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonaria.functions.ordered import running_before
 from sonaria.functions.scalars import decibels, hashed_unit
 from sonaria.operators import spectral as sp
 from sonaria.operators.intervals import chunk_windows, rectangles
@@ -20,7 +21,8 @@ def file_split(files: DataFrame, share: float = 0.8, seed: int = 42) -> DataFram
     half to even, at least one and, of two or more, not all) and to 'valid'. A single file is for validation."""
     order = F.md5(F.concat_ws("|", "file", F.lit(str(seed))))
     n = files.agg(F.count("*").alias("n"))
-    ranked = files.select("file", F.row_number().over(Window.orderBy(order, "file")).alias("k")).crossJoin(F.broadcast(n))
+    keyed = files.select("file", F.concat_ws("|", order, "file").alias("_k"), F.lit(1).alias("_one"))
+    ranked = running_before(keyed, "_k", "_one", "_before").select("file", (F.col("_before") + 1).alias("k")).crossJoin(F.broadcast(n))
     take = F.when(F.col("n") > 1, F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * share)))).otherwise(F.lit(0))
     return ranked.select("file", F.when(F.col("k") <= take, "train").otherwise("valid").alias("split"))
 
@@ -182,6 +184,44 @@ class LogisticMask(MaskModel):
         raise FileNotFoundError(f"no model in {', '.join(paths)}") from missing
 
 
+class BinEmbedding:
+    """Unit vectors for bins: the principal components of the levels around a bin, in time and frequency.
+
+    It stands in for a trained embedding behind the same use: clustering.segment() groups its vectors into sources and
+    clustering.clustering_loss() scores them against known sources."""
+
+    def __init__(self, dims: int = 20, reach: int = 2) -> None:
+        self.dims, self.reach, self.mean, self.map = dims, reach, None, None
+
+    def _patches(self, bins: DataFrame) -> DataFrame:
+        from itertools import product
+
+        near = [(f, b) for f, b in product(range(-self.reach, self.reach + 1), range(-2 * self.reach, 2 * self.reach + 1))]
+        across = Window.partitionBy("file", "frame").orderBy("bin")
+        along = Window.partitionBy("file", "bin").orderBy("frame")
+        steps = sorted({b for _, b in near})
+        rows = bins.withColumn("_row", F.array(*(F.coalesce(F.lag("x", -b).over(across) if b else F.col("x"), F.lit(0.0)) for b in steps)))
+        empty = F.array_repeat(F.lit(0.0), len(steps))
+        parts = [F.coalesce(F.lag("_row", -f).over(along) if f else F.col("_row"), empty) for f in range(-self.reach, self.reach + 1)]
+        return rows.withColumn("patch", F.concat(*parts, F.array(F.col("bin") / BINS))).drop("_row")
+
+    def fit(self, bins: DataFrame) -> BinEmbedding:
+        from pyspark.ml.feature import PCA
+        from pyspark.ml.functions import array_to_vector
+
+        data = self._patches(bins).select(array_to_vector("patch").alias("p"))
+        m = PCA(k=self.dims, inputCol="p", outputCol="z").fit(data)
+        self.map = m.pc.toArray()
+        return self
+
+    def transform(self, bins: DataFrame) -> DataFrame:
+        """bins with vec, of length 1."""
+        columns = [F.array(*(F.lit(float(v)) for v in c)) for c in self.map.T]
+        dots = F.array(*(F.aggregate(F.zip_with("patch", c, lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v) for c in columns))
+        norm = F.sqrt(F.aggregate("_z", F.lit(0.0), lambda a, v: a + v * v))
+        return self._patches(bins).withColumn("_z", dots).withColumn("vec", F.transform("_z", lambda v: v / F.greatest(norm, F.lit(1e-12)))).drop("_z", "patch")
+
+
 def best_so_far(losses: DataFrame, key: str = "run") -> DataFrame:
     """losses (run, epoch, loss) with best, the least loss up to each epoch, and whether the epoch reached it first."""
     w = Window.partitionBy(key).orderBy("epoch")

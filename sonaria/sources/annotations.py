@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonaria import schemas
+from sonaria.functions.ordered import running_before
 from sonaria.functions.scalars import basename
 
 # The column names that annotation sheets use, the preferred one first.
@@ -87,8 +88,7 @@ def dummy_annotations(files: DataFrame, n: int = 5, start: float = 2.0, end: flo
 def selection_table(detections: DataFrame) -> DataFrame:
     """Detections (file, start_s, end_s, call_type, confidence, median_f0_hz) as a numbered selection table in order
     of file and start. The numbers come from each file's count, so files don't meet in one task."""
-    per = detections.groupBy("file").agg(F.count("*").alias("n"))
-    base = per.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
+    base = running_before(detections.groupBy("file").agg(F.count("*").alias("n")), "file", "n", "base").select("file", "base")
     k = F.row_number().over(Window.partitionBy("file").orderBy("start_s", "end_s"))
     d = detections.withColumn("k", k).join(base, "file")
     return d.select((F.col("base") + F.col("k")).cast("int").alias("Selection"), F.col("file").alias("Sound_file"), F.bround("start_s", 4).alias("Start_time"), F.bround("end_s", 4).alias("End_time"), F.col("call_type").alias("Call_type"), F.bround("confidence", 4).alias("Confidence"), F.bround("median_f0_hz", 2).alias("Median_F0_Hz"))
