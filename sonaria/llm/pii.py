@@ -28,7 +28,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
     r"|(?<![0-9A-Za-z])\+[2-9][0-9]{0,2}(?:[ -]?(?:\([0-9]{1,5}\)|[0-9]{2,5})){2,5}(?![0-9])"
-    r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    r"|(?<![0-9A-Za-z.-])(?:1[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])",
 }
 
@@ -183,7 +183,8 @@ def mask(docs: DataFrame, key: str = "sonaria") -> DataFrame:
     """docs with every piece of validated personal data in column text replaced by its pseudonym, and a column
     n_pii (long) that counts them.
 
-    docs: text and any other columns, which stay, unless one is named n_pii. What looks like a number or date but
+    key: names the permutations; who knows it can undo them, so production runs need one of their own. docs: text
+    and any other columns, which stay, unless one is named n_pii. What looks like a number or date but
     is not valid stays as it is. A null text stays null and counts 0; texts without personal data do not change;
     equal values get equal pseudonyms in all documents and rows.
     """
