@@ -35,4 +35,28 @@ OP10 = f"""WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents), b AS (SELECT
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN who USING (doc_id)"""
 
-SQL = {"op2_jaccard_join": OP2, "op7_substring_dedup": OP7, "op10_decontamination": OP10}
+#: A prime, and a number whose powers modulo it weigh the bytes of a window.
+PRIME, BASE = (1 << 61) - 1, 1_000_003
+
+
+def _power(base: int) -> str:
+    """base to the power p modulo PRIME, for p below 2**24, by the bits of p."""
+    out = "1::HUGEINT"
+    for k in range(24):
+        out = f"({out}) * CASE WHEN (p >> {k}) & 1 = 1 THEN {pow(base, 1 << k, PRIME)}::HUGEINT ELSE 1::HUGEINT END % {PRIME}"
+    return out
+
+
+#: Windows of 400 bytes are compared by a 61-bit hash from running sums.
+OP8 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
+    b AS (SELECT doc_id, unnest(range(0, len(x))) AS p, unnest(x) AS x FROM d),
+    w AS (SELECT p, {_power(BASE)} AS up, {_power(pow(BASE, -1, PRIME))} AS down FROM (SELECT DISTINCT p FROM b)),
+    s AS (SELECT doc_id, p, x, down, sum((('0x' || x)::INTEGER + 1) * up % {PRIME}) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM b JOIN w USING (p)),
+    win AS (SELECT doc_id, p, x, (lead(s, 399) OVER o - lag(s, 1, 0::HUGEINT) OVER o) % {PRIME} * down % {PRIME} AS h FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+    flag AS (SELECT doc_id, p, x, CASE WHEN h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END AS bad FROM win),
+    gone AS (SELECT doc_id, p, x, max(bad) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS g FROM flag),
+    runs AS (SELECT *, CASE WHEN g = 1 AND lag(g, 1, 0) OVER (PARTITION BY doc_id ORDER BY p) = 0 THEN 1 ELSE 0 END AS first FROM gone),
+    t AS (SELECT doc_id, sum(g)::BIGINT AS n, sum(first)::BIGINT AS r, string_agg(x, '' ORDER BY p) FILTER (WHERE g = 0) AS k FROM runs GROUP BY doc_id)
+    SELECT doc_id, len(x) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(r, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
+SQL = {"op2_jaccard_join": OP2, "op7_substring_dedup": OP7, "op8_suffix_dedup": OP8, "op10_decontamination": OP10}
