@@ -93,7 +93,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def chunks(buf: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20):
+def chunks(buf: np.ndarray, offsets: np.ndarray, limit: int = 1 << 19):
     """Ranges of whole texts of about limit bytes: (first, last, bytes, offsets). A longer text is a range of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:

@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: a shard is one row with the sorted terms
-of some million words, and for each term the positions where it stands. Test
+of some hundred thousand words, and for each term the positions where it stands. Test
 windows are looked up from their rarest terms: the positions of a rare term
 are intersected with the offset-adjusted positions of the words beside it, one
 word further at each step, until a list is empty or a window is complete. No
@@ -36,7 +36,7 @@ def terms_of(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarra
         yield i, j, word_values(low, start, end), of
 
 
-def build_index(docs: DataFrame, shard_bytes: int = 1 << 22) -> DataFrame:
+def build_index(docs: DataFrame, shard_bytes: int = 1 << 21) -> DataFrame:
     """Postings of every word of every text, a row for each shard."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +89,9 @@ def _frequency(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(told.value), np.int64)
         for batch in batches:
-            for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cuts = np.frombuffer(c, np.int64)
-                held = np.frombuffer(t, U64)
+            for t, c in zip(batch.column(0), batch.column(1), strict=True):
+                cuts = np.frombuffer(c.as_buffer(), np.int64)
+                held = np.frombuffer(t.as_buffer(), U64)
                 if len(held):
                     k = np.minimum(np.searchsorted(held, told.value), len(held) - 1)
                     total += np.where(held[k] == told.value, np.diff(cuts)[k], 0)
@@ -163,7 +163,8 @@ def _search(index: DataFrame, plan: list[tuple], slop: int) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
                 shard = Shard(row)
                 hits: list[list] = [[] for _ in shard.ids]
                 near: list[set] = [set() for _ in shard.ids]

@@ -148,7 +148,8 @@ def _search(index: DataFrame, ids: np.ndarray, x: np.ndarray, codes: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, codes = told.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for k_row in range(len(batch)):
+                row = batch.slice(k_row, 1).to_pylist()[0]
                 own = np.frombuffer(row["ids"], np.int64)
                 vectors = np.frombuffer(row["vectors"]).reshape(len(own), -1)
                 shard = Shard(np.frombuffer(row["codes"], np.uint16).reshape(len(own), -1))

@@ -80,7 +80,7 @@ class Encoder:
     The ids of pieces already met are kept, sorted by the pieces' hashes, up to KNOWN pieces.
     """
 
-    KNOWN = 1 << 20
+    KNOWN = 1 << 18
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
