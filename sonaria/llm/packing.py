@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
         encoder = Encoder.at(tokenizer)
         for batch in batches:
             ids = batch.column(0)
-            for i, j, buf, offsets in chunks(*flat(batch.column(1))):
+            for i, j, buf, offsets in chunks(*flat(batch.column(1)), 1 << 20):
                 token, of = encoder.ids(buf, offsets)
                 rows = []
                 for k in range(j - i):

@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-from sonaria.llm.arrays import BYTE_VALUES, Rolling, is_in
+from sonaria.llm.arrays import BYTE_VALUES, Rolling
 
 #: The pattern whose pieces this module knows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,10 +77,11 @@ def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """ids(buf, offsets): (all ids, where each text's ids begin).
 
-    The ids of pieces already met are kept, sorted by the pieces' hashes, up to KNOWN pieces.
+    The ids of pieces already met are kept, sorted by the pieces' hashes, up to KNOWN pieces. What was met last is in a
+    short table of its own, which joins the long one when it has LATEST rows, so that the long one is seldom moved.
     """
 
-    KNOWN = 1 << 18
+    KNOWN, LATEST = 1 << 20, 1 << 16
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -97,7 +98,30 @@ class Encoder:
         return cls(path)
 
     def forget(self) -> None:
-        self.names, self.begin, self.size, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.tables = [self._empty(), self._empty()]
+        self.known = np.zeros(0, np.uint32)
+        self.added: list[np.ndarray] = []
+        self.end = self.filled = 0
+
+    @staticmethod
+    def _empty() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate(x)[order] for x in zip(a, b, strict=True))
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether each is known, where its ids begin, how many they are)."""
+        found, begin, size = np.zeros(len(names), bool), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for known, b, n in self.tables:
+            if len(known):
+                k = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                hit = known[k] == names
+                found |= hit
+                begin[hit], size[hit] = b[k[hit]], n[k[hit]]
+        return found, begin, size
 
     def learn(self, names: np.ndarray, pieces: list[bytes]) -> None:
         """Pieces in lines meet the tokenizer in one call: a line's end is a piece and a token of its own."""
@@ -113,15 +137,32 @@ class Encoder:
         mask = np.ones(len(pieces), bool)
         mask[apart] = False
         first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-        base = len(self.known)
+        base = self.end
         begin[mask], size[mask] = base + first, ends - first
         at = base + len(ids)
         for k, x in alone.items():
             begin[k], size[k] = at, len(x)
             at += len(x)
-        self.known = np.concatenate([self.known, ids, *alone.values()]).astype(np.uint32)
-        order = np.argsort(np.concatenate([self.names, names]), kind="stable")
-        self.names, self.begin, self.size = (np.concatenate(x)[order] for x in ((self.names, names), (self.begin, begin), (self.size, size)))
+        self.end = at
+        self.added += [ids, *alone.values()]
+        latest = self._merged(self.tables[1], (names, begin.astype(np.int32), size.astype(np.int32)))
+        if len(latest[0]) >= self.LATEST:
+            self.tables = [self._merged(self.tables[0], latest), self._empty()]
+        else:
+            self.tables[1] = latest
+
+    def all_known(self) -> np.ndarray:
+        """The ids of all known pieces."""
+        if self.added:
+            if self.end > len(self.known):
+                room = np.empty(self.end + (1 << 18), np.uint32)
+                room[: self.filled] = self.known[: self.filled]
+                self.known = room
+            for x in self.added:
+                self.known[self.filled : self.filled + len(x)] = x
+                self.filled += len(x)
+            self.added = []
+        return self.known
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -151,16 +192,16 @@ class Encoder:
         end = np.append(start[1:], len(buf))
         name = Rolling(BYTE_VALUES[0][buf], 0).span(start, end)
         _, first, number = np.unique(name, return_index=True, return_inverse=True)
-        if len(self.names) > self.KNOWN:
+        if len(self.tables[0][0]) > self.KNOWN:
             self.forget()
         distinct_names = name[first]
-        new = np.flatnonzero(~is_in(distinct_names, self.names))
+        found, at, size = self.find(distinct_names)
+        new = np.flatnonzero(~found)
         if len(new):
             data = buf.tobytes()
             self.learn(distinct_names[new], [data[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-        k = np.searchsorted(self.names, distinct_names)
-        at, size = self.begin[k], self.size[k]
+            _, at, size = self.find(distinct_names)
         many = size[number]
         upto = np.concatenate([[0], np.cumsum(many)])
         gather = np.repeat(at[number] - upto[:-1], many) + np.arange(upto[-1])
-        return self.known[gather], upto[np.searchsorted(start, offsets)]
+        return self.all_known()[gather], upto[np.searchsorted(start, offsets)]
