@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,22 +139,29 @@ def split_at_valleys(regions: DataFrame, frames: DataFrame, score: str, longest:
     """Regions (file, first, end, last) of more than `longest` seconds cut at the lowest score of their middle four
     fifths, the first of equal ones, and so on until all are short or have fewer than four frames.
 
-    All regions of a round are cut at once, and each part is at most nine tenths of the whole, so the rounds grow
-    with the logarithm of the longest region. last: the file's last frame, whose time no end exceeds.
+    How often a region is cut depends on its scores, so a file's regions and scores meet in one Arrow kernel, in one
+    exchange. last: the file's last frame, whose time no end exceeds.
     """
-    todo, done = regions.select("file", "first", "end", "last"), None
-    scores = frames.select("file", F.col("frame").alias("f"), F.col(score).alias("s"))
-    while True:
-        long = (F.least("end", "last") - F.least("first", "last")) * dt > longest
-        n = F.col("end") - F.col("first")
-        margin = F.greatest(F.lit(1), F.floor(n / 10)).cast("int")
-        todo = todo.withColumn("cut", long & (n >= 4) & (n - 2 * margin > 0)).withColumn("m", margin)
-        short = todo.filter(~F.col("cut")).select("file", "first", "end", "last")
-        done = short if done is None else done.unionByName(short)
-        todo = todo.filter("cut")
-        inside = todo.join(scores, "file").filter("f >= first + m and f < end - m")
-        cut = inside.groupBy("file", "first", "end", "last").agg(F.min(F.struct("s", "f")).alias("v")).withColumn("v", F.col("v.f"))
-        halves = F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("end").alias("b"))))
-        todo = cut.withColumn("h", halves).select("file", F.col("h.a").alias("first"), F.col("h.b").alias("end"), "last").persist()
-        if todo.isEmpty():
-            return done
+
+    def cut(part: pa.Table, scored: pa.Table) -> pa.Table:
+        if not len(part):
+            return part.select(["file", "first", "end", "last"])
+        frame = scored["frame"].to_numpy()
+        s = np.full(int(frame.max()) + 1 if len(frame) else 0, np.inf)
+        s[frame] = scored["score"].to_numpy()
+        out = []
+        todo = list(zip(part["first"].to_pylist(), part["end"].to_pylist(), part["last"].to_pylist(), strict=True))
+        while todo:
+            a, b, last = todo.pop()
+            m = max(1, (b - a) // 10)
+            if (min(b, last) - min(a, last)) * dt <= longest or b - a < 4 or b - a <= 2 * m:
+                out.append((a, b, last))
+            else:
+                k = a + m + int(s[a + m : b - m].argmin())
+                todo += [(a, k, last), (k, b, last)]
+        first, end, last = zip(*out, strict=True)
+        return pa.table({"file": pa.array([part["file"][0].as_py()] * len(out), pa.string()), "first": pa.array(first, pa.int32()), "end": pa.array(end, pa.int32()), "last": pa.array(last, pa.int32())})
+
+    r = regions.select(F.col("file").cast("string").alias("file"), *(F.col(c).cast("int").alias(c) for c in ("first", "end", "last")))
+    f = frames.select(F.col("file").cast("string").alias("file"), F.col("frame").cast("int").alias("frame"), F.col(score).cast("double").alias("score"))
+    return r.groupBy("file").cogroup(f.groupBy("file")).applyInArrow(cut, "file string, first int, end int, last int")
