@@ -4,7 +4,7 @@ A byte-level BPE splits a text into pieces by a pattern and merges inside each
 piece only, so equal pieces have equal ids. Piece bounds are found with array
 operations, every distinct piece goes through the tokenizer once, and the ids
 are gathered. The bounds are computed here for texts whose characters are all
-below U+0250; a text with any other character goes through the tokenizer whole.
+below U+0280; a text with any other character goes through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from sonaria.llm.arrays import BYTE_VALUES, Rolling
 #: The pattern whose pieces this module knows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = range(4)
-LIMIT = 0x250
+LIMIT = 0x280
 
 
 def _kind(c: int) -> int:
@@ -32,7 +32,7 @@ KINDS = np.array([_kind(c) for c in range(LIMIT)], np.uint8)
 
 
 def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the pieces of texts begin; all characters must be below U+0250."""
+    """Where the pieces of texts begin; all characters must be below U+0280."""
     n = len(buf)
     wide = buf.astype(np.int32)
     nxt = np.append(wide[1:], 0)
@@ -169,7 +169,7 @@ class Encoder:
 
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
-        far = np.concatenate([[0], np.cumsum(buf >= 0xC9 + 1)])[offsets]
+        far = np.concatenate([[0], np.cumsum(buf >= 0xC0 + (LIMIT >> 6))])[offsets]
         plain = np.diff(far) == 0
         if plain.all():
             return self._plain(buf, offsets)

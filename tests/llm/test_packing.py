@@ -28,6 +28,18 @@ def test_ids_are_the_tokenizers():
     assert all(np.array_equal(w, ids[a:b]) for (_, w), a, b in zip(plain, of[:-1], of[1:], strict=True))
 
 
+def test_ids_around_the_limit_of_the_fast_path():
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)} .{chr(c)}'s{chr(c)}" for c in range(0x20, 0x300)] + ["salam gəlir", "ɐ", "ɿ"]
+    texts += ["".join(r.choices("abəɐɡɪɿ\u024f\u0280 09.'s\n", k=r.randrange(15))) for _ in range(2000)]
+    e = Encoder(PATH)
+    for own in (texts, [t for t in texts if all(ord(c) < 0x280 for c in t)]):
+        ids, of = e.ids(*flat(pa.array(own)))
+        assert all(np.array_equal(w, ids[a:b]) for w, a, b in zip(e.whole(own), of[:-1], of[1:], strict=True))
+
+
 def lower_bound(sizes, cap):
     """Martello and Toth's L2: pieces above cap - k stand alone; those from k up must fill what the large ones leave."""
     best = 0
