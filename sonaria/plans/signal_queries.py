@@ -64,12 +64,21 @@ def harmonic_comb(spark, d):
     return f.crossJoin(F.broadcast(_grid(spark))).select("f0", "freq", r(sp.comb("f0", "freq")).alias("comb"))
 
 
-def timevarying_comb(spark, d):
-    f = v.frames(spark, d).filter("frame < 12").select("file", "frame", F.col("best_f0").alias("f0"))
-    g = f.crossJoin(F.broadcast(_grid(spark).filter("freq < 300"))).withColumn("comb", sp.comb("f0", "freq"))
+def _timevarying_comb(frames, grid):
+    g = frames.select("file", "frame", F.col("best_f0").alias("f0")).crossJoin(F.broadcast(grid)).withColumn("comb", sp.comb("f0", "freq"))
     return g.groupBy("file", "frame").agg(r(F.sum("comb"), 4).alias("total"), r(F.max("comb"), 4).alias("most"))
 
 
+def timevarying_comb(spark, d):
+    """The first frames and the low grid only, as its SQL says."""
+    return _timevarying_comb(v.frames(spark, d).filter("frame < 12"), _grid(spark).filter("freq < 300"))
+
+
+def timevarying_comb_all(spark, d):
+    """Every frame and the whole grid."""
+    return _timevarying_comb(v.frames(spark, d), _grid(spark))
+
+
 def _pair_bins(spark, d):
     p = v.pairs(spark, d)
     return p.select("vec_id", F.posexplode(F.arrays_zip("x", "y")).alias("i", "p")).select("vec_id", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
@@ -303,6 +312,7 @@ SQL = {
     "harmonic_contrast": sql("SELECT vec_id, arg_max(cand, (s, -cand)) FILTER (WHERE cand <= 10) AS best_f0, max(s) FILTER (WHERE cand <= 10) AS low, max(s) FILTER (WHERE cand > 10) AS high, max(s) FILTER (WHERE cand <= 10) > 1.05::DOUBLE * max(s) FILTER (WHERE cand > 10) AS gate FROM (SELECT vec_id, cand, round(salience, 4) + 0.0 AS s FROM sal) GROUP BY vec_id", "spec", more=SAL),
     "harmonic_comb": sql(f"SELECT f0, freq, round({COMB}, 6) + 0.0 AS comb FROM (SELECT unnest(generate_series(0, 79)) * 0.5::DOUBLE + 8 AS f0), grid", more=GRID),
     "timevarying_comb": sql(f"SELECT file, frame, round(sum({COMB}), 4) + 0.0 AS total, round(max({COMB}), 4) + 0.0 AS most FROM (SELECT file, frame, best_f0 AS f0 FROM fr WHERE frame < 12), grid WHERE freq < 300 GROUP BY file, frame", "fr", more=GRID),
+    "timevarying_comb_all": sql(f"SELECT file, frame, round(sum({COMB}), 4) + 0.0 AS total, round(max({COMB}), 4) + 0.0 AS most FROM (SELECT file, frame, best_f0 AS f0 FROM fr), grid GROUP BY file, frame", "fr", more=GRID),
     "wiener_mask": sql("SELECT vec_id, i, caller, round(CASE caller WHEN 0 THEN abs(x) * 0.5::DOUBLE ELSE abs(y) END / (abs(x) * 0.5::DOUBLE + abs(y) + 1e-8), 6) + 0.0 AS mask FROM pr, (SELECT unnest([0, 1])::INTEGER AS caller)", "pr"),
     "mask_apply": sql("SELECT vec_id, i, round(CASE WHEN i % 3 <> 0 THEN v * abs(v) ELSE 0 END, 6) + 0.0 AS re, round(CASE WHEN i % 3 <> 0 THEN -v / 2 * abs(v) ELSE 0 END, 6) + 0.0 AS im FROM emb", "emb"),
     "mask_upsample": sql("SELECT a.vec_id, f AS frame, round(abs(a.v) + (abs(b.v) - abs(a.v)) * (f * 63 / 255.0::DOUBLE - floor(f * 63 / 255.0::DOUBLE)), 6) + 0.0 AS mask FROM (SELECT unnest(generate_series(0, 255))::INTEGER AS f) JOIN emb a ON a.i = floor(f * 63 / 255.0::DOUBLE) JOIN emb b ON b.vec_id = a.vec_id AND b.i = ceil(f * 63 / 255.0::DOUBLE)", "emb"),
@@ -363,7 +373,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        short_dft, mean_spectrum, peak_argmax, frequency_crop, db_normalise, sigmoid_threshold, harmonic_salience, harmonic_contrast, harmonic_comb, timevarying_comb, wiener_mask, mask_apply, mask_upsample,
+        short_dft, mean_spectrum, peak_argmax, frequency_crop, db_normalise, sigmoid_threshold, harmonic_salience, harmonic_contrast, harmonic_comb, timevarying_comb, timevarying_comb_all, wiener_mask, mask_apply, mask_upsample,
         ideal_binary_mask, snr_mix, unit_power, peak_limit, signal_power, two_source_mixture, chunk_pad_slice, rms_windows, murmur_clips, region_composite, spectral_centroid, harmonic_count, tolerance_anti, positional_assign,
         cluster_centroids, centroid_merge_cc, knn_label, dc_loss_gram, bce_logits, pair_sampling_hash, labels_without_noise, hdbscan_cluster, multipitch_iterative, registry_register, registry_new_ids,
         registry_dump, registry_rename, clips_for_parent, clip_lookup, caller_nesting_json, dominant_type, overview_counts, clip_filename, sql_functions,
