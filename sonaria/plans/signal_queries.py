@@ -171,17 +171,27 @@ def tolerance_anti(spark, d):
     return p.filter("vec_id % 10 <> 0").join(known, (F.col("f") - F.col("k") < 3.0) & (F.col("k") - F.col("f") < 3.0) & (p.label == known.label), "left_anti").select("vec_id", "f")
 
 
-def positional_assign(spark, d):
+def _positional_assign(vectors, customers):
     """The n-th candidate of a label for its n-th customer; without one left, the first."""
-    p = v.vectors(spark, d).filter("vec_id < 60").select("label", F.col("vec_id").alias("cand"))
+    p = vectors.select("label", F.col("vec_id").alias("cand"))
     w = Window.partitionBy("label")
     c = p.withColumn("k", F.row_number().over(w.orderBy("cand")))
-    need = v.table(spark, d, "customer").select(F.pmod("c_custkey", F.lit(10)).cast("int").alias("label"), "c_custkey").filter("c_custkey < 100")
+    need = customers.select(F.pmod("c_custkey", F.lit(10)).cast("int").alias("label"), "c_custkey")
     need = need.withColumn("k", F.row_number().over(w.orderBy("c_custkey")))
     first = c.filter("k = 1").select("label", F.col("cand").alias("fallback"))
     return need.join(c, ["label", "k"], "left").join(first, "label", "left").select("c_custkey", F.coalesce("cand", "fallback").alias("cand"))
 
 
+def positional_assign(spark, d):
+    """The first candidates and customers only, as its SQL says."""
+    return _positional_assign(v.vectors(spark, d).filter("vec_id < 60"), v.table(spark, d, "customer").filter("c_custkey < 100"))
+
+
+def positional_assign_all(spark, d):
+    """Every candidate and customer."""
+    return _positional_assign(v.vectors(spark, d), v.table(spark, d, "customer"))
+
+
 def cluster_centroids(spark, d):
     c = cl.centroids(v.vectors(spark, d), "label", "x")
     return c.select("label", "n", F.posexplode("centroid").alias("i", "v")).select("label", "n", "i", r("v").alias("v"))
@@ -264,16 +274,36 @@ def clips_for_parent(spark, d):
     return _clips(spark, d).filter("parent_wav = 'rec 70.wav'").orderBy("elephant_id", "start_time").select("clip_id", "elephant_id", r("start_time").alias("start_time"))
 
 
-def clip_lookup(spark, d):
+def _clip_lookup(spark, d, clips):
     on_disk = v.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("rec "), F.col("c_custkey").cast("string"), F.lit(".wav")).alias("parent_wav"))
-    return _clips(spark, d).filter("clip_id between 100 and 300").join(on_disk, "parent_wav", "left_semi").select("clip_id", "parent_wav")
+    return clips.join(on_disk, "parent_wav", "left_semi").select("clip_id", "parent_wav")
 
 
-def caller_nesting_json(spark, d):
-    c = _clips(spark, d).filter("clip_id < 2000").select("clip_id", "parent_wav", "elephant_id", F.col("start_time").cast("long").alias("start_time"), "clip_type")
+def clip_lookup(spark, d):
+    """A range of clips only, as its SQL says."""
+    return _clip_lookup(spark, d, _clips(spark, d).filter("clip_id between 100 and 300"))
+
+
+def clip_lookup_all(spark, d):
+    """Every clip."""
+    return _clip_lookup(spark, d, _clips(spark, d))
+
+
+def _caller_nesting_json(clips):
+    c = clips.select("clip_id", "parent_wav", "elephant_id", F.col("start_time").cast("long").alias("start_time"), "clip_type")
     return registry.payload(c).select("parent_wav", "json")
 
 
+def caller_nesting_json(spark, d):
+    """The first clips only, as its SQL says."""
+    return _caller_nesting_json(_clips(spark, d).filter("clip_id < 2000"))
+
+
+def caller_nesting_json_all(spark, d):
+    """Every clip."""
+    return _caller_nesting_json(_clips(spark, d))
+
+
 def dominant_type(spark, d):
     e = v.table(spark, d, "events")
     return registry.dominant_type(e, "user_id", "event_type", "event_id").select("user_id", "event_type", "n")
@@ -337,6 +367,8 @@ SQL = {
     "tolerance_anti": sql("SELECT vec_id, f FROM p a WHERE vec_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.vec_id % 10 = 0 AND b.label = a.label AND a.f - b.f < 3.0 AND b.f - a.f < 3.0)", "emb", more="p AS (SELECT vec_id, label, round(v * 100, 6) + 0.0 AS f FROM emb WHERE i = 0)"),
     "positional_assign": """WITH c AS (SELECT label, vec_id AS cand, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE vec_id < 60), n AS (SELECT c_custkey, (c_custkey % 10)::INTEGER AS label,
         row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS k FROM customer WHERE c_custkey < 100) SELECT c_custkey, coalesce(c.cand, f.cand) AS cand FROM n LEFT JOIN c USING (label, k) LEFT JOIN (SELECT label, cand FROM c WHERE k = 1) f USING (label)""",
+    "positional_assign_all": """WITH c AS (SELECT label, vec_id AS cand, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), n AS (SELECT c_custkey, (c_custkey % 10)::INTEGER AS label,
+        row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS k FROM customer) SELECT c_custkey, coalesce(c.cand, f.cand) AS cand FROM n LEFT JOIN c USING (label, k) LEFT JOIN (SELECT label, cand FROM c WHERE k = 1) f USING (label)""",
     "cluster_centroids": sql("SELECT label, count(*) AS n, i, round(avg(v), 6) + 0.0 AS v FROM emb GROUP BY label, i", "emb"),
     "centroid_merge_cc": sql(
         "SELECT label, dense_rank() OVER (ORDER BY root)::INTEGER - 1 AS merged FROM (SELECT a AS label, min(b) AS root FROM reach GROUP BY a)", "emb",
@@ -358,9 +390,13 @@ SQL = {
     "registry_rename": "SELECT c_name AS elephant_id, CASE WHEN c_custkey % 9 = 0 THEN 'N' || c_custkey ELSE c_mktsegment END AS nickname FROM customer",
     "clips_for_parent": sql("SELECT clip_id, elephant_id, round(start_time, 6) + 0.0 AS start_time FROM clips WHERE parent_wav = 'rec 70.wav'", more=CLIPS),
     "clip_lookup": sql("SELECT clip_id, parent_wav FROM clips WHERE clip_id BETWEEN 100 AND 300 AND parent_wav IN (SELECT 'rec ' || c_custkey || '.wav' FROM customer WHERE c_custkey % 2 = 0)", more=CLIPS),
+    "clip_lookup_all": sql("SELECT clip_id, parent_wav FROM clips WHERE parent_wav IN (SELECT 'rec ' || c_custkey || '.wav' FROM customer WHERE c_custkey % 2 = 0)", more=CLIPS),
     "caller_nesting_json": sql(
         """SELECT parent_wav, '{"parent_wav":"' || parent_wav || '","detected_callers":' || count(*) || ',"callers":[' || string_agg('{"elephant_id":"' || elephant_id || '","clips":[' || j || ']}', ',' ORDER BY elephant_id) || '],"clip_count":' || sum(n)::BIGINT || '}' AS json FROM
         (SELECT parent_wav, elephant_id, count(*) AS n, string_agg('{"clip_id":' || clip_id || ',"start_time":' || floor(start_time)::BIGINT || ',"clip_type":"' || clip_type || '"}', ',' ORDER BY floor(start_time), clip_id) AS j FROM clips WHERE clip_id < 2000 GROUP BY parent_wav, elephant_id) GROUP BY parent_wav""", more=CLIPS),
+    "caller_nesting_json_all": sql(
+        """SELECT parent_wav, '{"parent_wav":"' || parent_wav || '","detected_callers":' || count(*) || ',"callers":[' || string_agg('{"elephant_id":"' || elephant_id || '","clips":[' || j || ']}', ',' ORDER BY elephant_id) || '],"clip_count":' || sum(n)::BIGINT || '}' AS json FROM
+        (SELECT parent_wav, elephant_id, count(*) AS n, string_agg('{"clip_id":' || clip_id || ',"start_time":' || floor(start_time)::BIGINT || ',"clip_type":"' || clip_type || '"}', ',' ORDER BY floor(start_time), clip_id) AS j FROM clips GROUP BY parent_wav, elephant_id) GROUP BY parent_wav""", more=CLIPS),
     "dominant_type": "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY user_id, event_type) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1",
     "overview_counts": sql("SELECT parent_wav, count(*) AS clips, count(DISTINCT elephant_id) AS callers FROM clips GROUP BY parent_wav", more=CLIPS),
     "clip_filename": sql("SELECT clip_id, substr(replace(replace('a long name of a recording ' || parent_wav, '.wav', ''), ' ', '_'), 1, 30) || '_' || elephant_id || '_' || clip_type || '_T' || t || '.wav' AS name, CASE WHEN clip_id % 4 = 0 THEN 'cleaned_output.wav' ELSE 'cleaned_caller_' || (clip_id % 4 + 1) || '.wav' END AS track FROM (SELECT *, CASE clip_id % 97 % 4 WHEN 1 THEN (floor(start_time)::BIGINT)::VARCHAR || '.3' WHEN 3 THEN (floor(start_time)::BIGINT)::VARCHAR || '.8' ELSE printf('%.1f', start_time) END AS t FROM clips)", more=CLIPS),
@@ -374,8 +410,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         short_dft, mean_spectrum, peak_argmax, frequency_crop, db_normalise, sigmoid_threshold, harmonic_salience, harmonic_contrast, harmonic_comb, timevarying_comb, timevarying_comb_all, wiener_mask, mask_apply, mask_upsample,
-        ideal_binary_mask, snr_mix, unit_power, peak_limit, signal_power, two_source_mixture, chunk_pad_slice, rms_windows, murmur_clips, region_composite, spectral_centroid, harmonic_count, tolerance_anti, positional_assign,
+        ideal_binary_mask, snr_mix, unit_power, peak_limit, signal_power, two_source_mixture, chunk_pad_slice, rms_windows, murmur_clips, region_composite, spectral_centroid, harmonic_count, tolerance_anti, positional_assign, positional_assign_all,
         cluster_centroids, centroid_merge_cc, knn_label, dc_loss_gram, bce_logits, pair_sampling_hash, labels_without_noise, hdbscan_cluster, multipitch_iterative, registry_register, registry_new_ids,
-        registry_dump, registry_rename, clips_for_parent, clip_lookup, caller_nesting_json, dominant_type, overview_counts, clip_filename, sql_functions,
+        registry_dump, registry_rename, clips_for_parent, clip_lookup, clip_lookup_all, caller_nesting_json, caller_nesting_json_all, dominant_type, overview_counts, clip_filename, sql_functions,
     )
 }

@@ -1,6 +1,7 @@
 """Queries over whole tables, against brute force on small ones."""
 
 import datetime
+import json
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from sonaria.plans import catalog
 
 START = datetime.datetime(2024, 1, 1)
+ORDERS = [(i, 1 + i * 7 % 400, f"{i % 3}-HIGH") for i in range(1, 4001, 5)]
 KINDS = ("view", "click", "purchase", "signup", "error")
 
 
@@ -22,6 +24,9 @@ def events():
 def folder(spark, events, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("whole"))
     spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{d}/events.parquet")
+    spark.createDataFrame([(i, i % 10 if i % 3 else 0, [0.0, 1.0]) for i in range(150)], "vec_id long, label int, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(i,) for i in range(1, 401)], "c_custkey long").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame(ORDERS, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
     return d
 
 
@@ -38,3 +43,24 @@ def test_comb_of_every_frame(spark, events, folder):
     got = {(x.file, x.frame): (x.total, x.most) for x in catalog.QUERIES["timevarying_comb_all"](spark, folder).collect()}
     assert got.keys() == want.keys() and len(got) == len(events)
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_every_candidate_and_customer(spark, folder):
+    cands = {k: [i for i in range(150) if (i % 10 if i % 3 else 0) == k] for k in range(10)}
+    want = {}
+    for k in range(10):
+        for n, c in enumerate(c for c in range(1, 401) if c % 10 == k):
+            want[c] = (cands[k][n] if n < len(cands[k]) else cands[k][0]) if cands[k] else None
+    assert {x.c_custkey: x.cand for x in catalog.QUERIES["positional_assign_all"](spark, folder).collect()} == want
+
+
+def test_every_clip(spark, folder):
+    got = {x.clip_id: x.parent_wav for x in catalog.QUERIES["clip_lookup_all"](spark, folder).collect()}
+    assert got == {i: f"rec {c}.wav" for i, c, _ in ORDERS if c % 2 == 0}
+    seen = set()
+    for x in catalog.QUERIES["caller_nesting_json_all"](spark, folder).collect():
+        told = json.loads(x.json)
+        ids = [c["clip_id"] for caller in told["callers"] for c in caller["clips"]]
+        assert told["parent_wav"] == x.parent_wav and told["clip_count"] == len(ids) and told["detected_callers"] == len(told["callers"])
+        seen |= {(i, x.parent_wav, caller["elephant_id"]) for caller in told["callers"] for i in (c["clip_id"] for c in caller["clips"])}
+    assert seen == {(i, f"rec {c}.wav", f"Elephant_{'ABC'[i % 3]}") for i, c, _ in ORDERS}
