@@ -91,12 +91,21 @@ def anti_unmatched(spark, d):
     return gt.join(j.select("file", "id"), ["file", "id"], "left_anti").select("file", "id")
 
 
-def chunk_window_join(spark, d):
-    chunks = v.truth(spark, d).filter("id % 5 = 0").select("file", "id", "start_s")
-    c = iv.chunk_windows(chunks, v.predictions(spark, d), 2 * HOUR)
+def _chunk_window_join(spark, d, chunks):
+    c = iv.chunk_windows(chunks.select("file", "id", "start_s"), v.predictions(spark, d), 2 * HOUR)
     return c.select("file", "chunk_id", "id", r("rel_start").alias("rel_start"), r("rel_end").alias("rel_end"))
 
 
+def chunk_window_join(spark, d):
+    """Chunks of each fifth call only, as its SQL says."""
+    return _chunk_window_join(spark, d, v.truth(spark, d).filter("id % 5 = 0"))
+
+
+def chunk_window_join_all(spark, d):
+    """A chunk for every call."""
+    return _chunk_window_join(spark, d, v.truth(spark, d))
+
+
 def positive_duration(spark, d):
     return v.intervals(spark, d).select("id", r(iv.duration("end_s", "start_s")).alias("backward_s"), r(iv.duration()).alias("forward_s"))
 
@@ -259,6 +268,9 @@ SQL = {
     "chunk_window_join": sql(
         """SELECT a.file, a.id AS chunk_id, b.id, round(greatest(b.start_s, a.start_s) - a.start_s, 6) + 0.0 AS rel_start, round(least(b.end_s, a.start_s + 7200) - a.start_s, 6) + 0.0 AS rel_end
         FROM gt a JOIN pred b ON a.file = b.file AND a.start_s < b.end_s AND b.start_s < a.start_s + 7200 WHERE a.id % 5 = 0""", "gt", "pred"),
+    "chunk_window_join_all": sql(
+        """SELECT a.file, a.id AS chunk_id, b.id, round(greatest(b.start_s, a.start_s) - a.start_s, 6) + 0.0 AS rel_start, round(least(b.end_s, a.start_s + 7200) - a.start_s, 6) + 0.0 AS rel_end
+        FROM gt a JOIN pred b ON a.file = b.file AND a.start_s < b.end_s AND b.start_s < a.start_s + 7200""", "gt", "pred"),
     "positive_duration": sql("SELECT id, round(greatest(start_s - end_s, 0), 6) + 0.0 AS backward_s, round(greatest(end_s - start_s, 0), 6) + 0.0 AS forward_s FROM iv", "iv"),
     "weighted_sample_hash": sql(
         """SELECT draw_id, file, round(gap_start + v * greatest(w - 3600, 0), 3) + 0.0 AS start_s FROM draws JOIN placed ON draws.u * (SELECT sum(fw) FROM per) >= lo AND draws.u * (SELECT sum(fw) FROM per) < lo + w""", "iv", "dur",
@@ -296,7 +308,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_overlap_join, interval_iou, overlap_count_left, merge_frag_rate, overlap_groups, overlap_group_members, noise_gaps, longest_solo, gap_merge, rasterize_frames, frame_confusion, rect_mask,
-        file_universe, semi_has_audio, anti_unmatched, chunk_window_join, positive_duration, weighted_sample_hash, collar_greedy_match, hungarian_match, event_metrics, per_file_rollup, pr_f1_safe, fa_per_hour,
+        file_universe, semi_has_audio, anti_unmatched, chunk_window_join, chunk_window_join_all, positive_duration, weighted_sample_hash, collar_greedy_match, hungarian_match, event_metrics, per_file_rollup, pr_f1_safe, fa_per_hour,
         report_lines, selection_ids, dummy_annotations, basename_trim, rumble_filter, frequency_defaults, frame_bin_index, format_mmss, timeline_percent, session_merge, tumbling_rms,
     )
 }

@@ -64,3 +64,17 @@ def test_every_clip(spark, folder):
         assert told["parent_wav"] == x.parent_wav and told["clip_count"] == len(ids) and told["detected_callers"] == len(told["callers"])
         seen |= {(i, x.parent_wav, caller["elephant_id"]) for caller in told["callers"] for i in (c["clip_id"] for c in caller["clips"])}
     assert seen == {(i, f"rec {c}.wav", f"Elephant_{'ABC'[i % 3]}") for i, c, _ in ORDERS}
+
+
+def test_chunk_for_every_call(spark, events, folder):
+    at = {e[0]: (e[2] - START).total_seconds() for e in events}
+    calls, found = ([e for e in events if e[3] in kinds] for kinds in (("view", "click"), ("purchase", "signup")))
+    want = {}
+    for c in calls:
+        for f in found:
+            start, end = at[f[0]], at[f[0]] + f[4] * 600
+            if c[1] == f[1] and start < at[c[0]] + 7200 and end > at[c[0]]:
+                want[str(c[1]), c[0], f[0]] = (max(start - at[c[0]], 0), min(end - at[c[0]], 7200))
+    got = {(x.file, x.chunk_id, x.id): (x.rel_start, x.rel_end) for x in catalog.QUERIES["chunk_window_join_all"](spark, folder).collect()}
+    assert got.keys() == want.keys() and any(k[1] % 5 for k in got)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
