@@ -26,19 +26,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mil.score(docs, model).filter(F.col("score") < REJECTED).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, of id and text: rows that share it are equal but for columns that no stage reads."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    told = _keyed(docs)
+    classes = jaccard_join.join(told.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "class_id").distinct()
+    ids = told.select("_key", "doc_id").distinct()
+    first = classes.join(ids, "_key").groupBy("class_id").agg(F.min(F.struct("doc_id", "_key")).alias("least")).select("least._key")
+    return told.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of all documents that links of Jaccard similarity 0.8 connect, the one with the least doc_id stays. Texts
-    without words all stay; of rows that repeat an id one stays; rows without an id stay, one for each text."""
-    first = jaccard_join.join(docs).filter("doc_id = class_id").select("doc_id")
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    """Of all rows that links of Jaccard similarity 0.8 connect, the one with the least doc_id stays, of equal ids the
+    one with the least hash. Different texts of one id are rows of their own. Texts without words stay, one for each
+    id and text. Rows without an id are linked with each other only, so copies of documents with an id stay."""
+    named, others = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    out = _one_of_each(named)
+    return out if others.isEmpty() else out.unionByName(_one_of_each(others))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item go. Null and empty texts have none. Rows without an
-    id go if their text is that of another such row with a hit, so they are told apart by their texts' hashes."""
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    told = docs.withColumn("_key", key)
+    """Documents with ten consecutive words of a benchmark item go. Null and empty texts have none. Rows are told
+    apart by the hash of their id and text, so another text of the same id, or of none, stays."""
+    told = _keyed(docs)
     found = decontaminate.find(told.select(F.col("_key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).filter(F.size("hits") > 0)
     return told.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
 

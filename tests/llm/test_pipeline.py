@@ -53,6 +53,23 @@ def test_stages(spark, folder):
     assert sorted(map(tuple, pipeline.run(spark, folder).select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=repr) == sorted(((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in steps["packing"]), key=repr)
 
 
+def test_rows_that_share_an_id_or_have_none(spark, folder):
+    r = random.Random(12)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    voc = [a + b for a in "klmnp" for b in ("amo", "iru", "eto", "usa", "ona")]
+    one, two, three, four, five = (" ".join(r.choices(voc, k=60)) for _ in range(5))
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").filter("item_id = 1").first().text
+    rows = [(1, one), (1, two), (1, one), (2, two + " extra"), (None, three), (None, three + " extra"), (None, four), (None, ""), (None, None), (3, ""), (3, None), (4, five), (4, f"{four} {item}")]
+    df = spark.createDataFrame([(i, x, None, None, 0) for i, x in rows], docs.schema)
+    got = pipeline.near_duplicates(spark, df, folder)
+    left = Counter((x.doc_id, x.text) for x in got.collect())
+    near = {(None, three), (None, three + " extra")}
+    assert left[None, three] + left[None, three + " extra"] == 1
+    assert Counter({k: n for k, n in left.items() if k not in near}) == Counter((set(rows) - near) - {(2, two + " extra")})
+    clean = {(x.doc_id, x.text) for x in pipeline.decontamination(spark, got, folder).collect()}
+    assert set(left) - clean == {(4, f"{four} {item}")}
+
+
 def test_empty(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
