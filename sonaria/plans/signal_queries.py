@@ -225,7 +225,7 @@ def labels_without_noise(spark, d):
 
 
 def hdbscan_cluster(spark, d):
-    return cl.cluster(v.vectors(spark, d).select("vec_id", "x"), "vec_id", "x", most=400, min_cluster=8, min_samples=4)
+    return cl.cluster(v.vectors(spark, d).select("vec_id", "x"), "vec_id", "x", most=5000, min_cluster=8, min_samples=4)
 
 
 def multipitch_iterative(spark, d):

@@ -78,3 +78,13 @@ def test_chunk_for_every_call(spark, events, folder):
     got = {(x.file, x.chunk_id, x.id): (x.rel_start, x.rel_end) for x in catalog.QUERIES["chunk_window_join_all"](spark, folder).collect()}
     assert got.keys() == want.keys() and any(k[1] % 5 for k in got)
     assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_every_vector_is_clustered(spark, tmp_path):
+    """Seventy groups of eight vectors far apart: a sample would break them up."""
+    r = np.random.default_rng(5)
+    x = np.repeat(r.uniform(-100, 100, (70, 6)), 8, axis=0) + r.normal(0, 0.01, (560, 6))
+    spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {y.vec_id: y.label for y in catalog.QUERIES["hdbscan_cluster"](spark, str(tmp_path)).collect()}
+    groups = [{got[8 * g + i] for i in range(8)} for g in range(70)]
+    assert all(len(g) == 1 and -1 not in g for g in groups) and len(set.union(*groups)) == 70
