@@ -62,14 +62,15 @@ def fixture(group):
     texts += [edit(hot, r.choice((1, 2, 3, 5))) for _ in range(group)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, None), (None, rows[0][1]), (3, rows[3][1]), (9004, rows[5][1].replace(" ", ",\n  ").upper()), (9005, "a b"), (9006, "a b"), (9007, "x " * 4000)]
+    rows += [(None, rows[-20][1] + " one more"), (None, rows[-20][1] + " one more")]
     r.shuffle(rows)
     return rows
 
 
-@pytest.mark.parametrize("group,listed,block", [(20, 12, 384), (120, 12, 32), (60, 2, 16)])
-def test_against_brute_force(spark, group, listed, block, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LISTED", listed)
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize("group,listed,signed,block,tile", [(20, 12, 1 << 14, 1 << 22, 512), (120, 12, 32, 9000, 16), (60, 2, 16, 3000, 7)])
+def test_against_brute_force(spark, group, listed, signed, block, tile, monkeypatch):
+    for name, value in (("LISTED", listed), ("SIGNED", signed), ("BLOCK", block), ("TILE", tile)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = fixture(group)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as bucket").repartition(3)
     got = [tuple(x) for x in jaccard_join.join(df).collect()]
