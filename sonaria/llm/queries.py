@@ -48,7 +48,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.mask(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii")
+    return pii.mask(read(spark, sf_dir, "documents"), pii.key_of(spark)).select("doc_id", "text", "n_pii")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

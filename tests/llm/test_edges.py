@@ -33,7 +33,7 @@ def test_the_others(spark, docs):
     hits = {r.doc_id: r.hits for r in decontaminate.find(df, items).collect()}
     assert len(hits[1]) == len(hits[2]) == len(hits[3]) == 1 and hits[3][0].item_id is None and hits[5] == []
     assert mil.score(df, mil.train(df, labels, F.lit(True))).count() == quality.score(df, quality.train(df, labels, F.lit(True))).count() == n
-    masked = pii.mask(df)
+    masked = pii.mask(df, "k")
     assert masked.filter("n_pii > 0").count() == 0 and masked.exceptAll(df.withColumn("n_pii", F.lit(0).cast("long"))).count() == 0
     joined = {r.doc_id: r for r in jaccard_join.join(df).collect()}
     assert joined[8].n_copies == 3 and joined[None].class_id == 8 and joined[7].class_id == 7 and joined[1].n_links == 0

@@ -73,6 +73,46 @@ def test_dates_are_permuted(spark):
     assert len(images) == len(range(0, 146097, 7))
 
 
+def test_every_date_of_every_format(spark):
+    days = spark.sql("select explode(sequence(date'1800-01-01', date'2199-12-31')) as d")
+    forms = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy"]
+    written = None
+    for f in forms:
+        some = days.filter("day(d) > 12" if f.startswith("MM") else "true").selectExpr(f"date_format(d, '{f}') as m", "d")
+        written = some if written is None else written.unionByName(some)
+    out = written.select("m", F.expr(pii._date("k", "m")).alias("p")).cache()
+    n = 4 * 146097 + 88497
+    same = "translate(m, '123456789', '000000000') = translate(p, '123456789', '000000000')"
+    r = out.agg(F.count("*"), F.countDistinct("m"), F.countDistinct("p"), F.sum(F.expr(same).cast("int")), F.sum(F.expr("m = p").cast("int"))).first()
+    assert r[0] == r[1] == r[2] == r[3] == n and r[4] < 40
+    # a pseudonym is a date of its own kind, so it can't meet another kind's
+    shown = out.filter("m like '__/%'").selectExpr("try_to_date(m, 'dd/MM/yyyy') is null as a", "try_to_date(p, 'dd/MM/yyyy') is null as b", "p")
+    assert shown.filter("a <> b or b and try_to_date(p, 'MM/dd/yyyy') is null").count() == 0
+    out.unpersist()
+    assert [x for x, n in masked(spark, ["1790-01-01", "0199-12-31", "9800-01-01"])][1:] == ["0199-12-31", "9800-01-01"]
+    old, n = masked(spark, ["1790-01-01"])[0]
+    assert n == 1 and old != "1790-01-01" and 1400 <= int(old[:4]) < 1800
+
+
+def test_names_and_secrets_are_permuted(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [a + b for a in letters for b in letters] + [a + d for a in letters for d in "0123456789"] + list(letters) + [f"u{i:04d}.x" for i in range(2000)]
+    out = spark.createDataFrame([(x,) for x in names], "u string").select(F.expr(pii._string_feistel("k", "email", "u")).alias("p")).toPandas().p
+    assert len(set(out)) == len(names)
+    assert all(re.sub("[a-z]", "a", re.sub(r"\d", "9", a)) == re.sub("[a-z]", "a", re.sub(r"\d", "9", b)) for a, b in zip(names, out, strict=True))
+    got = masked(spark, ["Password: Hunter22", "PWD=hunter22 x", "at 2001:db8::ff00:42:8329.", "fe80:0:0:0:202:b3ff:fe1e:8329 up", "std::vector a::b 12:30:45"])
+    assert [n for _, n in got] == [1, 1, 1, 1, 0] and "unter22" not in got[0][0] + got[1][0] and "8329" not in got[2][0] + got[3][0]
+    assert re.fullmatch(r"at [0-9]{4}:[a-f]{2}[0-9]::[a-f]{2}[0-9]{2}:[0-9]{2}:[0-9]{4}\.", got[2][0])
+
+
+def test_formats_that_must_not_meet(spark):
+    texts = ["010.1.1.1", "10.1.1.1", "123-456-7890", "223-456-7890", "DE89370400440532013000"]
+    got = [x for x, _ in masked(spark, texts)]
+    assert got[0] == texts[0] and got[2] == texts[2] and got[1] != texts[1] and re.fullmatch(r"[2-9]\d\d-[2-9]\d\d-\d{4}", got[3])
+    with pytest.raises(ValueError):
+        pii.mask(spark.range(1).selectExpr("'x' as text"), "")
+
+
 def test_others(spark):
     texts = [
         "call +1 (269) 555-3296 4111111111111111 now",
@@ -109,8 +149,8 @@ def test_nothing_to_mask(spark, t):
 
 def test_other_columns_stay(spark):
     df = spark.createDataFrame([(None, "x 4111111111111111", 7, "en")], "doc_id long, text string, n_pii int, m string")
-    out = pii.mask(df)
+    out = pii.mask(df, "k")
     assert out.columns == ["doc_id", "text", "m", "n_pii"] and out.first().n_pii == 1
-    assert pii.mask(df.limit(0)).count() == 0
+    assert pii.mask(df.limit(0), "k").count() == 0
     plan = out.select(F.sha2("text", 256))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
