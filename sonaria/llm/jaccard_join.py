@@ -38,7 +38,7 @@ LISTED = 12
 #: Nodes whose signatures make a block of a large bucket.
 SIGNED = 1 << 14
 #: Bytes of texts that make a block of a large cluster, and the texts that are compared at once.
-BLOCK, TILE = 1 << 22, 512
+BLOCK, TILE = 1 << 21, 512
 SEEDS = mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 

@@ -3,16 +3,19 @@
 The longest previous factor of a position is the longest string that starts
 there and also starts earlier. It is read off the suffix order: of all earlier
 positions, the previous and the next smaller position in that order share the
-longest prefix. A position whose factor has `length` bytes starts a repeat.
+longest prefix. Likewise the previous and the next larger position give the
+longest next factor. A position whose factor has `length` bytes starts a repeat.
 
 A suffix array over all texts would not fit one machine, so texts are cut into
 contexts that need one another only: each `length`-byte window is named by the
 smallest hash of its `gram`-byte substrings, which equal windows share, and a
 context is a maximal run of windows with one name. Contexts whose name occurs
 once hold no repeat. The others meet by name; equal contexts are repeats as a
-whole, and the factors of the remaining ones are computed together. Names with
-more than `hot` bytes of contexts would be too much for one task; the windows
-of those are compared by 96-bit hashes over ranges of the hash space instead.
+whole, and the factors of the remaining ones are computed together, up to
+`length` bytes, as longer ones tell nothing more. Names with more than `split`
+bytes of contexts are split by a longer prefix, all bytes of a window: what
+meets then is equal in `length` bytes, so every factor but the first has them,
+and such groups are spread over all ranges of the hash space.
 """
 
 from __future__ import annotations
@@ -63,31 +66,43 @@ def _first_rank(data: np.ndarray) -> np.ndarray:
     return _dense(key)
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, common prefix length of each suffix with the one before it in order)."""
-    n = len(data)
-    if n == 0:
-        z = np.zeros(0, np.int64)
-        return z, z
-    levels, h = [(4, _first_rank(data))], 4
-    while int(levels[-1][1].max()) < n - 1:
-        levels.append((h * 2, _dense(_pair(levels[-1][1], h))))
-        h *= 2
-    sa = np.empty(n, np.int64)
-    sa[levels[-1][1].astype(np.int64)] = np.arange(n)
-    i, j = sa[:-1].copy(), sa[1:].copy()
-    lcp = np.zeros(n - 1, np.int64)
+def _ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(h, rank of each suffix by its first h bytes) for h of 4, 8 and so on up to length."""
+    levels = [(4, _first_rank(data))]
+    while levels[-1][0] * 2 <= length:
+        h, rank = levels[-1]
+        levels.append((h * 2, _dense(_pair(rank, h))))
+    return levels
+
+
+def _common(levels: list[tuple[int, np.ndarray]], data: np.ndarray, i: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
+    """The common prefix lengths of suffixes i and j, up to length."""
+    n, i, j, lcp = len(data), i.copy(), j.copy(), np.zeros(len(i), np.int64)
     for h, rank in reversed(levels):
-        inside = (i + h <= n) & (j + h <= n)
-        same = inside & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)])
-        i, j, lcp = i + h * same, j + h * same, lcp + h * same
+        while True:  # the longest step can be taken again
+            same = (i + h <= n) & (j + h <= n) & (lcp < length)
+            same &= rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)]
+            i, j, lcp = i + h * same, j + h * same, lcp + h * same
+            if h < levels[-1][0] or not same.any():
+                break
+    live = np.ones(len(i), bool)
     for _ in range(3):  # less than the 4 bytes of the first level are left
-        inside = (i < n) & (j < n)
-        same = inside & (data[np.minimum(i, n - 1)] == data[np.minimum(j, n - 1)])
-        for a in (i, j, lcp):
-            a += same
-        i[~same] = n
-    return sa, np.concatenate([[0], lcp])
+        live &= (i < n) & (j < n)
+        live &= data[np.minimum(i, n - 1)] == data[np.minimum(j, n - 1)]
+        i, j, lcp = i + live, j + live, lcp + live
+    return np.minimum(lcp, length)
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the starts, ascending, in order of the `length` bytes from there and then of their place, common prefix length
+    of each with the one before it in that order, up to length)."""
+    if not len(starts):
+        return starts, np.zeros(0, np.int64)
+    levels = _ranks(data, length)
+    h, rank = levels[-1]
+    key = (_pair(rank, length - h) if h < length else rank)[starts]
+    order = starts[np.argsort(key, kind="stable")]
+    return order, np.concatenate([[0], _common(levels, data, order[:-1], order[1:], length)])
 
 
 def _smaller(sa: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,32 +119,28 @@ def _smaller(sa: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         at[far] = at[step]
 
 
-def lpf(data: np.ndarray) -> np.ndarray:
-    """The longest previous factor of every position."""
-    sa, lcp = suffix_array(data)
-    _, before = _smaller(sa, lcp)
-    back = np.concatenate([lcp[1:], [0]])[::-1] if len(lcp) else lcp
-    _, after = _smaller(sa[::-1], back.copy())
-    out = np.zeros(len(data), np.int64)
-    out[sa] = np.maximum(before, after[::-1])
-    return out
+def _longest(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest factor that starts at a smaller position, for each place in order."""
+    _, before = _smaller(order, lcp)
+    _, after = _smaller(order[::-1], np.concatenate([lcp[1:], [0]])[::-1].copy())
+    return np.maximum(before, after[::-1])
 
 
 def factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each start (ascending, all `length` bytes inside one context): whether its previous factor has `length`
-    bytes, and whether it is the previous factor of a later start. Sorting by `length`-byte prefixes is enough:
-    among suffixes that agree so far, the smaller position next in order is the one before."""
-    rank, h = _first_rank(data), 4
-    while h * 2 <= length:
-        rank, h = _dense(_pair(rank, h)), h * 2
-    key = (_pair(rank, length - h) if h < length else rank)[starts]
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = k[1:] == k[:-1]
-    earlier, later = np.empty(len(starts), bool), np.empty(len(starts), bool)
-    earlier[order] = np.concatenate([[False], same])
-    later[order] = np.concatenate([same, [False]])
-    return earlier, later
+    """For each start (ascending, all `length` bytes inside one context) the lengths, up to `length`, of its longest
+    previous factor and of its longest next factor among the starts."""
+    order, lcp = suffix_order(data, starts, length)
+    place = np.searchsorted(starts, order)
+    previous, following = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    if len(starts):
+        previous[place], following[place] = _longest(order, lcp), _longest(-order, lcp)
+    return previous, following
+
+
+def lpf(data: np.ndarray) -> np.ndarray:
+    """The longest previous factor of every position."""
+    n = len(data)
+    return factors(data, np.arange(n), max(n, 4))[0]
 
 
 def _runs_of(least: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +294,8 @@ def _solve(todo, first, size, begin, owner, data, whole, ranges, length) -> None
     ok = np.ones(len(text) + 1, bool)
     ok[np.concatenate([np.arange(e - length + 1, e) for e in at[1:]])] = False
     starts = np.flatnonzero(ok[:-1])
-    earlier, later = factors(text, starts, length)
-    hit = starts[earlier | later]
+    previous, following = factors(text, starts, length)
+    hit = starts[(previous >= length) | (following >= length)]
     gone = cover(hit, hit + length, len(text))
     for k, m in enumerate(todo):
         if not whole[m]:
@@ -339,21 +350,22 @@ def _remove(docs: pa.Table, side: pa.Table, length: int, gram: int, hot: int, ra
     return pa.concat_tables(out)
 
 
-def dedup(docs: DataFrame, length: int = 400, gram: int = 64, batches: int = 3, hot: int = 1 << 20) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, gram: int = 64, batches: int = 3, split: int = 1 << 20) -> DataFrame:
     """Remove every byte that a repeated `length`-byte string covers.
 
     docs: doc_id, text; other columns are ignored. A string is repeated if it also starts anywhere else, in the
     same text too; strings never cross texts and are judged on the input. Returns a row for each row of docs:
     doc_id, n_bytes, removed (byte spans, end exclusive), kept (the other bytes). A null text is empty; a text of
     fewer bytes than `length` loses none; rows that are repeated whole remove each other; a null doc_id stays
-    null; an empty table gives an empty result. `hot` bounds the bytes of one name that a task sorts; beyond it
-    the windows of that name are compared by hash, with the same result.
+    null; an empty table gives an empty result. `split` is how many bytes of
+    contexts of one name a task sorts; a name with more is split by whole windows, with the same result. Texts of any
+    length are read whole.
     """
     n = partitions(docs.sparkSession)
     d = docs.select(bucket(F.concat_ws(" ", F.xxhash64("doc_id"), F.xxhash64("text")), buckets(docs)).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sources = kept(d.groupBy("b").applyInArrow(lambda t: _fingerprints(t, length, gram, n), SOURCES), "sources")
     flagged = repeated(sources, batches)
     side = flagged.select("src", "t", F.lit(FLAGGED).alias("kind"), "keys", "weights", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
-    sent = d.groupBy("b").cogroup(side.groupBy("src")).applyInArrow(lambda x, y: _send(x, y, length, gram, hot, n), SENT)
+    sent = d.groupBy("b").cogroup(side.groupBy("src")).applyInArrow(lambda x, y: _send(x, y, length, gram, split, n), SENT)
     side = side.unionByName(sent.groupBy("t").applyInArrow(lambda t: _verify(t, length), SIDE))
-    return d.groupBy("b").cogroup(side.groupBy("src")).applyInArrow(lambda x, y: _remove(x, y, length, gram, hot, n), OUT)
+    return d.groupBy("b").cogroup(side.groupBy("src")).applyInArrow(lambda x, y: _remove(x, y, length, gram, split, n), OUT)

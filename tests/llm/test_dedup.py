@@ -51,11 +51,11 @@ def test_words(spark, window):
     assert sorted(got, key=repr) == sorted(brute_words(rows, window), key=repr)
 
 
-@pytest.mark.parametrize("length,hot", [(400, 1 << 20), (100, 1 << 20), (100, 300)])
-def test_bytes(spark, length, hot):
+@pytest.mark.parametrize("length,split", [(400, 1 << 20), (100, 1 << 20), (100, 300)])
+def test_bytes(spark, length, split):
     rows = texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), bytes(r.kept)) for r in suffix_dedup.dedup(df, length, 32, hot=hot).collect()]
+    got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), bytes(r.kept)) for r in suffix_dedup.dedup(df, length, 32, split=split).collect()]
     assert sorted(got, key=repr) == sorted(brute_bytes(rows, length), key=repr)
 
 
@@ -74,6 +74,9 @@ def test_lpf():
             want = [max((next((k for k in range(n - i) if b[j + k] != b[i + k]), n - i) for j in range(i)), default=0) for i in range(n)]
             assert suffix_dedup.lpf(d).tolist() == want
             if n > 20:
-                starts = np.arange(n - 8)
-                earlier, _ = suffix_dedup.factors(d, starts, 8)
-                assert earlier.tolist() == [w >= 8 for w in want[: n - 8]]
+                for length in (8, 13):
+                    starts = np.array([i for i in range(n - length) if i % 7])
+                    previous, following = suffix_dedup.factors(d, starts, length)
+                    share = [[min(length, next((k for k in range(n - max(i, j)) if b[j + k] != b[i + k]), n - max(i, j))) for j in starts] for i in starts]
+                    assert previous.tolist() == [max(row[:k], default=0) for k, row in enumerate(share)]
+                    assert following.tolist() == [max(row[k + 1 :], default=0) for k, row in enumerate(share)]
