@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The engine's own bound is for each batch that goes to Python.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own: dict[str, str] = {}
 _made: list[str] = []
 
@@ -17,22 +21,53 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, which a
-    cluster names; where it is unset, as in tests, a folder of this machine."""
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir, which a cluster names. Where it
+    is unset and everything runs on this machine, as in tests, a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "base" not in _own:
             _own["base"] = "file://" + tempfile.mkdtemp(prefix="shared-")
         base = _own["base"]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit)
     _made.append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this process has written to the shared folder. Results that were not yet acted on are lost."""
-    while _made:
-        drop_dir(spark, _made.pop())
+def made() -> int:
+    """How many folders this process has made so far: a mark for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the folders that this process has made since a mark, but for so many of the last. Results that read them
+    and were not yet acted on are lost."""
+    gone = _made[since : len(_made) - but]
+    del _made[since : len(_made) - but]
+    for path in gone:
+        drop_dir(spark, path)
+
+
+def _at_exit() -> None:
+    """What is left goes with the process, if its session is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            release(spark)
+        except Exception:  # the engine has gone before
+            pass
+
+
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hand texts to Python in batches of bounded bytes, as 10,000 of them may be very long. What the session has set
+    itself stays."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(size))
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -54,9 +89,8 @@ def partitions(spark: SparkSession) -> int:
 def buckets(df: DataFrame, each: int = 16 << 20) -> int:
     """How many buckets of texts: the shuffle partitions, or more of them where, by the optimiser's estimate, a bucket
     would exceed `each` bytes of input. A task takes its buckets one after another, so its memory doesn't grow."""
-    n = partitions(df.sparkSession)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(n, min(64 * n, size // each))
+    return max(partitions(df.sparkSession), min(size // each, (1 << 31) - 1))
 
 
 def bucket(key: Column, n: int) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import ALNUM, LOWER, U64, chunks, cover, flat, word_values, words
-from sonaria.llm.common import kept
+from sonaria.llm.common import bound_batches, kept
 
 INDEX = "shard long, doc_ids array<long>, word_offsets binary, terms binary, cuts binary, postings binary"
 OUT = "shard long, row long, doc_id long, n_words long, hits array<struct<item_id:long,start:long,end:long>>, near array<long>"
@@ -223,6 +223,7 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = 10, slop: int = 0) -> D
     without slop). Null texts have no words; null ids stay null; equal rows and equal items each count; an empty
     table gives no rows or no hits.
     """
+    bound_batches(docs.sparkSession)
     index = kept(build_index(docs), "postings")
     done = None
     for items in _blocks(benchmark):

@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sonaria.llm.common import bound_batches
 
 # Element names of the HTML standard, by their part in a page.
 #: Elements whose content is no text of the page.
@@ -252,10 +255,12 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     and one without main text, has the empty text; equal pages have equal texts; broken markup is read as far as
     it goes; an empty table stays empty.
     """
+    bound_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
     names = pages.columns
     told = pages.sparkSession.sparkContext.broadcast(tree or train())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), "text string, n_chars long"])
+    pages = pages.withColumn("html", F.col("html").cast("string"))
+    schema = StructType(pages.schema.fields + StructType.fromDDL("text string, n_chars long").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,4 +269,4 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
                 texts = [main_text(p, told.value) for p in some.column(names.index("html")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    return pages.withColumn("html", F.col("html").cast("string")).mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema)

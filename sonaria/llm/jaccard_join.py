@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import ALNUM, LOWER, U64, Rolling, chunks, flat, mix, word_values, words
-from sonaria.llm.common import buckets, kept
+from sonaria.llm.common import bound_batches, buckets, kept
 from sonaria.llm.components import components
 
 HASHES, ROWS, STEP = 128, 4, 16
@@ -326,6 +326,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
     rows and equal texts are copies; different texts under one id are texts of their own. Very long texts are
     compared whole. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     least = least_matches(threshold, tolerance)
     groups = buckets(docs)
     signed = kept(_sign(docs, n), "signatures")

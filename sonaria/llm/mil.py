@@ -9,17 +9,21 @@ which then tells offending sentences apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sonaria.llm.arrays import ALNUM, LOWER, U64, chunks, flat, mix, word_table, word_values, words
+from sonaria.llm.common import bound_batches, kept
 
 BITS = 18
 ENDS = word_table(b".!?\n")
+#: Bytes of features that the driver holds at once while it fits.
+HELD = 1 << 26
 #: Bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
 
@@ -54,15 +58,21 @@ def instances(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, label: str, usable, per_class: int) -> DataFrame:
-    """At most per_class labelled rows of each class, the first in an order that has nothing to do with the data."""
+    """At most per_class labelled ids of each class, the first in an order that has nothing to do with the data, each
+    with one text, the least of those that it has."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(usable).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     some = [known.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
-def _bags(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, features, sentence of each word) of each sampled document."""
+Bags = list[tuple[int, np.ndarray, np.ndarray]]
+
+
+def _bags(sample: DataFrame) -> tuple[Callable[[int], Bags], int]:
+    """A function that gives a group of the bags, (label, features, sentence of each word) of each sampled document,
+    and the number of groups. A group is about HELD bytes, however long the documents are."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,10 +89,16 @@ def _bags(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
                     ["doc_id", "y", "features", "sentence"],
                 )
 
-    rows = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(pack, "doc_id long, y int, features binary, sentence binary").toArrow()
-    ids, y = rows["doc_id"].to_numpy(), rows["y"].to_numpy()
-    features, sentence = ([x.as_buffer() for x in rows[c]] for c in ("features", "sentence"))  # views, no copies
-    return [(int(y[k]), np.frombuffer(features[k], np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(sentence[k], np.int32)) for k in np.argsort(ids, kind="stable")]
+    bags = kept(sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(pack, "doc_id long, y int, features binary, sentence binary"), "bags")
+    groups = -(-(bags.agg(F.sum(F.length("features") + F.length("sentence"))).first()[0] or 0) // HELD) or 1
+
+    def group(g: int) -> Bags:
+        rows = bags.filter(F.pmod(F.xxhash64("doc_id"), F.lit(groups)) == g).toArrow()
+        ids, y = rows["doc_id"].to_numpy(), rows["y"].to_numpy()
+        features, sentence = ([x.as_buffer() for x in rows[c]] for c in ("features", "sentence"))  # views, no copies
+        return [(int(y[k]), np.frombuffer(features[k], np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(sentence[k], np.int32)) for k in np.argsort(ids, kind="stable")]
+
+    return group, groups
 
 
 class Model:
@@ -104,64 +120,79 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 30, batch: int = 128, rate: float = 0.15, lasso: float = 0.1, least: int = 12, seed: int = 7) -> Model:
+def _batches(group: Callable[[int], Bags], groups: int, epochs: int, batch: int, rng: np.random.Generator) -> Iterator[Bags]:
+    """Batches of bags with words, each epoch in another order."""
+    bags, held = [], -1
+    for _ in range(epochs):
+        for k in rng.permutation(groups):
+            if k != held:
+                bags, held = group(int(k)), k
+            order = rng.permutation(len(bags))
+            for a in range(0, len(order), batch):
+                if some := [bags[i] for i in order[a : a + batch] if len(bags[i][2])]:
+                    yield some
+
+
+def fit(group: Callable[[int], Bags], groups: int = 1, epochs: int = 30, batch: int = 128, rate: float = 0.15, lasso: float = 0.1, least: int = 12, seed: int = 7) -> Model:
     """Maximise the noisy-or likelihood of the bags' labels with Adam, less `lasso` times the weights' absolute sum.
-    Features of fewer than `least` bags, or of a hundredth of them if that is less, keep weight 0."""
+    Features of fewer than `least` bags, or of a hundredth of them if that is less, keep weight 0. One group of bags
+    is held at a time; an epoch goes through all of them, in an order of its own."""
     w, b = np.zeros(1 << BITS), -4.0
     model = Model(w, b)
-    if len({y for y, _, _ in bags}) < 2:
+    common, labels, n = np.zeros(len(w), np.int64), set(), 0
+    for g in range(groups):
+        bags = group(g)
+        n += len(bags)
+        for y, f, _ in bags:
+            common[np.unique(f)] += 1
+            labels.add(y)
+    del bags
+    if len(labels) < 2:
         return Model(w, -30.0)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    common = np.zeros(len(w), np.int64)
-    for _, f, _ in bags:
-        common[np.unique(f)] += 1
-    common = common >= max(2, min(least, len(bags) // 100))
-    order, rng, step = np.arange(len(bags)), np.random.default_rng(seed), 0
-    for _ in range(epochs):
-        rng.shuffle(order)
-        for k in range(0, len(order), batch):
-            some = [bags[i] for i in order[k : k + batch] if len(bags[i][2])]
-            if not some:
-                continue
-            base = np.concatenate([[0], np.cumsum([s[-1] + 1 for _, _, s in some])])
-            features = np.concatenate([f for _, f, _ in some])
-            sentence = np.concatenate([s + o for (_, _, s), o in zip(some, base, strict=False)])
-            y = np.array([y for y, _, _ in some])
-            z = model.logits(features, sentence)
-            bag = np.repeat(np.arange(len(some)), np.diff(base))
-            none = -np.bincount(bag, softplus(z), len(some))  # the log of the chance that no sentence is toxic
-            p = sigmoid(z)
-            pull = np.where(y == 1, -np.exp(none) / np.maximum(-np.expm1(none), 1e-9), 1.0)
-            g = pull[bag] * p / len(some)
-            grad = np.concatenate([np.bincount(features.ravel(), np.repeat(g[sentence], features.shape[1]), len(w)), [g.sum()]])
-            grad[:-1] *= common
-            step += 1
-            m = 0.9 * m + 0.1 * grad
-            v = 0.999 * v + 0.001 * grad * grad
-            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w -= move[:-1]
-            w[:] = np.sign(w) * np.maximum(np.abs(w) - lasso * rate, 0)
-            model.bias -= move[-1]
+    common = common >= max(2, min(least, n // 100))
+    for step, some in enumerate(_batches(group, groups, epochs, batch, np.random.default_rng(seed)), 1):
+        base = np.concatenate([[0], np.cumsum([s[-1] + 1 for _, _, s in some])])
+        features = np.concatenate([f for _, f, _ in some])
+        sentence = np.concatenate([s + o for (_, _, s), o in zip(some, base, strict=False)])
+        y = np.array([y for y, _, _ in some])
+        z = model.logits(features, sentence)
+        bag = np.repeat(np.arange(len(some)), np.diff(base))
+        none = -np.bincount(bag, softplus(z), len(some))  # the log of the chance that no sentence is toxic
+        p = sigmoid(z)
+        pull = np.where(y == 1, -np.exp(none) / np.maximum(-np.expm1(none), 1e-9), 1.0)
+        g = pull[bag] * p / len(some)
+        grad = np.concatenate([np.bincount(features.ravel(), np.repeat(g[sentence], features.shape[1]), len(w)), [g.sum()]])
+        grad[:-1] *= common
+        m = 0.9 * m + 0.1 * grad
+        v = 0.999 * v + 0.001 * grad * grad
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w -= move[:-1]
+        w[:] = np.sign(w) * np.maximum(np.abs(w) - lasso * rate, 0)
+        model.bias -= move[-1]
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 2000) -> Model:
     """Fit on at most per_class documents of each label that the condition `usable` (on labels.doc_id) lets pass.
-    The driver holds their features for the time of the fit."""
-    return fit(_bags(_sampled(docs, labels, "toxic", usable, per_class)))
+    The driver holds about HELD bytes of their features at a time."""
+    bound_batches(docs.sparkSession)
+    return fit(*_bags(_sampled(docs, labels, "toxic", usable, per_class)))
 
 
 def score(docs: DataFrame, model: Model, locate: float = 0.5) -> DataFrame:
     """docs with columns score (0 to 1) and sentences (byte spans of sentences of probability `locate` or more).
 
     docs: doc_id, text and any other columns, which stay, unless they are named score or sentences. A text
-    without words scores 0; equal texts score alike; null ids and texts stay null; an empty table stays empty.
+    without words scores 0; equal texts score alike; very long texts are scored whole; null ids and texts stay null;
+    an empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.drop("score", "sentences")
     told = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double, sentences array<struct<start:long,end:long,score:double>>"])
+    schema = StructType(docs.schema.fields + StructType.fromDDL("score double, sentences array<struct<start:long,end:long,score:double>>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*told.value)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import chunks, flat
-from sonaria.llm.common import kept, partitions
+from sonaria.llm.common import bound_batches, kept, partitions
 from sonaria.llm.tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy long"
@@ -138,6 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
     occur; a null doc_id stays null; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     n = partitions(spark)
     all_pieces = kept(pieces(docs, tokenizer, capacity, end_id), "pieces").withColumn("salt", F.pmod(F.xxhash64("copy", "piece", "start"), F.lit(n)))
     per = all_pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))

@@ -16,8 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sonaria.llm.arrays import BYTE_VALUES, SPACED, U64, Rolling, chunks, flat, mix, word_values, words
+from sonaria.llm.common import bound_batches
 from sonaria.llm.mil import _sampled
 
 #: Hashed terms of each kind: words, shapes, pairs of shapes, and repeats.
@@ -123,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 1500) ->
                 at = [np.flatnonzero(r).astype(np.int32) for r in f]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(f, at, strict=True)], pa.binary())], ["doc_id", "y", "at", "f"])
 
+    bound_batches(docs.sparkSession)
     rows = _sampled(docs, labels, "quality", usable, per_class).selectExpr("doc_id", "text", "cast(y as int) as y").mapInArrow(pack, "doc_id long, y int, at binary, f binary").toArrow().sort_by("doc_id")
     if not len(rows):
         return None
@@ -136,13 +139,14 @@ def score(docs: DataFrame, space: Space | None, neighbours: int = 15, power: flo
     """docs with a column score (0 to 1, higher: label 1 likelier).
 
     docs: doc_id, text and any other columns, which stay, unless one is named score. A text without words, or any
-    text when nothing is labelled, scores 0; equal texts score alike; null ids and texts stay null; an empty
+    text when nothing is labelled, scores 0; equal texts score alike; very long texts are scored whole; null ids and texts stay null; an empty
     table stays empty.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("score")
     names = docs.columns
     told = docs.sparkSession.sparkContext.broadcast(space)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double"])
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

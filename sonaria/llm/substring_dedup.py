@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import SPACED, U64, Rolling, chunks, cover, distinct, flat, is_in, runs, winnow, word_values, words
-from sonaria.llm.common import bucket, buckets, kept, partitions
+from sonaria.llm.common import bound_batches, bucket, buckets, kept, partitions
 from sonaria.llm.exchange import SOURCES, blobs, pieces, repeated, source_rows, u64
 
 OUT = "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept string"
@@ -156,6 +156,7 @@ def dedup(docs: DataFrame, window: int = 35, gram: int = 10, batches: int = 3) -
     text has no words; a text of fewer words than a window loses none; rows that are repeated whole remove each
     other's windows; a null doc_id stays null; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     d = docs.select(bucket(F.concat_ws(" ", F.xxhash64("doc_id"), F.xxhash64("text")), buckets(docs)).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sources = kept(d.groupBy("b").applyInArrow(lambda t: _fingerprints(t, window, gram, n), SOURCES), "sources")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import BYTE_VALUES, U64, Rolling, chunks, cover, distinct, flat, is_in, winnow
-from sonaria.llm.common import bucket, buckets, kept, partitions
+from sonaria.llm.common import bound_batches, bucket, buckets, kept, partitions
 from sonaria.llm.exchange import SOURCES, blobs, pieces, repeated, source_rows, u64
 from sonaria.llm.substring_dedup import spans
 
@@ -361,6 +361,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 64, batches: int = 3,
     contexts of one name a task sorts; a name with more is split by whole windows, with the same result. Texts of any
     length are read whole.
     """
+    bound_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     d = docs.select(bucket(F.concat_ws(" ", F.xxhash64("doc_id"), F.xxhash64("text")), buckets(docs)).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sources = kept(d.groupBy("b").applyInArrow(lambda t: _fingerprints(t, length, gram, n), SOURCES), "sources")

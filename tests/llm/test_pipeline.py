@@ -4,6 +4,10 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from sonaria.llm import common
+
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -43,7 +47,7 @@ def test_stages(spark, folder):
     clean = {i for i in range(400) if i % 8}
     assert not [i for i in ids["toxicity"] if i is not None and i < 400 and i not in clean]
     assert clean | {500, 501, 502, 503, None} <= set(ids["toxicity"])
-    assert set(ids["jaccard_join"]) == set(ids["toxicity"]) - {500, 501} and max(ids["jaccard_join"].values()) == 1
+    assert set(ids["jaccard_join"]) == set(ids["toxicity"]) - {500, 501, None} and max(ids["jaccard_join"].values()) == 1
     assert set(ids["jaccard_join"]) - set(ids["decontamination"]) == {3}
     assert ids["pseudonyms"] == ids["decontamination"]
     text = {x.doc_id: x.text for x in steps["pseudonyms"]}
@@ -70,6 +74,28 @@ def test_rows_that_share_an_id_or_have_none(spark, folder):
     assert set(left) - clean == {(4, f"{four} {item}")}
 
 
+def test_columns_that_operators_use_too(spark, folder):
+    """Columns with the names of an operator's own pass through, and a copy without an id goes, not its document."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id is null or doc_id < 40")
+    names = ["score", "sentences", "n_pii", "_key", "key", "node", "root", "class_id", "hits", "odd name: `x`"]
+    docs = docs.select("*", *(F.concat_ws("-", F.lit(k), "doc_id").alias(n) for k, n in enumerate(names)))
+    columns, rows = docs.columns, docs.count()
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns
+        got = docs.collect()
+        assert all(r[n] == "-".join(map(str, [k, r.doc_id])) for r in got if r.doc_id is not None for k, n in enumerate(names))
+        assert 0 < len(got) <= rows and (name == "toxicity" or not [r for r in got if r.doc_id is None])
+
+
+def test_what_a_run_leaves(spark, folder):
+    mark = common.made()
+    out = pipeline.run(spark, folder)
+    assert common.made() == mark + 1 and out.count() > 0
+    common.release(spark, mark)
+    assert common.made() == mark
+
+
 def test_empty(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
