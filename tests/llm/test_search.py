@@ -1,14 +1,17 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sonaria.llm import hashing_search as H
 
 
-def brute(rows, k):
+def brute(rows, k, step=10):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows])
     out = {}
-    for q in sorted({i for i in ids if i % 10 == 0}):
+    for q in sorted({i for i in ids if i % step == 0}):
         d = np.sqrt(((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(1))
         keep = ids != q
         order = np.lexsort((ids[keep], d[keep]))[:k]
@@ -41,13 +44,47 @@ def test_recall_and_ties(spark, monkeypatch):
 
 def test_every_code_in_the_radius():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 1 << 16, (500, 4), dtype=np.uint16)
-    codes[:50] = codes[0] ^ (1 << rng.integers(0, 16, (50, 4))).astype(np.uint16)
+    codes = rng.integers(0, 1 << 63, (9000, 4), dtype=np.uint64)
+    codes[:60] = codes[0] ^ (np.uint64(1) << rng.integers(0, 64, (60, 4), dtype=np.uint64))
+    codes[60:90] = codes[:30]
     shard = H.Shard(codes)
-    for radius in (0, 3, 8, 20, 30):
-        for q in codes[:20]:
-            far = np.array([sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(c, q, strict=True)) for c in codes])
-            assert shard.within(q, radius, 1).tolist() == np.flatnonzero(far <= radius).tolist()
+    for radius in (0, 1, 3, 5, 8, 40, 120, 256):
+        for q in [*codes[:6], codes[3] ^ np.uint64(5)]:
+            far = np.array([bin(int(a)).count("1") for a in (codes ^ q).ravel()]).reshape(codes.shape).sum(1)
+            assert shard.within(q, radius).tolist() == np.flatnonzero(far <= radius).tolist()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_and_candidates(spark, sf):
+    """Uniform directions in 64 dimensions, the hardest case: what is retrieved and ranked, and what is found."""
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    rows = H.usable(df, 64).orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    got = {}
+    for r in H.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute([(i, v) for i, v in zip(ids.tolist(), x, strict=True)], 10, 100)
+    recall = np.mean([len(got[q] & {i for i, _ in w}) / 10 for q, w in want.items()])
+    codes = H.Codes(x[:4096])
+    shard, radius = H.Shard(codes.of(x)), codes.radius(x[:4096], 10, 0.985)
+    retrieved = np.mean([len(shard.retrieved(c, radius)) for c in shard.codes[::50]]) / len(x)
+    ranked = np.mean([len(shard.within(c, radius)) for c in shard.codes[::50]]) / len(x)
+    print(f"{sf}: recall {recall:.3f}, retrieved {retrieved:.3f}, ranked {ranked:.3f} of all codes")
+    assert recall >= 0.95 and (retrieved < 0.2 or len(x) < 1000)
+
+
+def test_queries_beyond_the_radius(spark):
+    """Outliers have no neighbour in the radius and still get their nearest."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([1 + 0.01 * rng.standard_normal((400, 16)), -5 * rng.standard_normal((3, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in H.nearest(df, F.col("vec_id") >= 395, share=0.5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == {q: 10 for q in range(395, 403)}
 
 
 def test_few_rows(spark):
