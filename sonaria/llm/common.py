@@ -75,6 +75,25 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new version of a small file; readers see the last whole one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p(path))
+    n = len(fs.listStatus(p(path)))
+    out = fs.create(p(f"{path}/.{n:08d}"))
+    out.writeBytes(text)
+    out.close()
+    fs.rename(p(f"{path}/.{n:08d}"), p(f"{path}/{n:08d}"))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The last version of a file of write_text()."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = sorted(x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+    return spark.read.text(f"{path}/{[n for n in names if n[0] != '.'][-1]}", wholetext=True).first()[0]
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
@@ -86,11 +105,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def buckets(df: DataFrame, each: int = 16 << 20) -> int:
-    """How many buckets of texts: the shuffle partitions, or more of them where, by the optimiser's estimate, a bucket
-    would exceed `each` bytes of input. A task takes its buckets one after another, so its memory doesn't grow."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(df.sparkSession), min(size // each, (1 << 31) - 1))
+def estimated(docs: DataFrame) -> int:
+    """The bytes of what docs are read from, by the optimiser's estimate; where it has none, the bytes of the texts."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < 1 << 60:
+        return size
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def buckets(docs: DataFrame, each: int = 16 << 20) -> int:
+    """How many buckets of texts: the shuffle partitions, or more of them where a bucket would exceed `each` bytes of
+    input. A task takes its buckets one after another, so its memory doesn't grow."""
+    return max(partitions(docs.sparkSession), estimated(docs) // each)
 
 
 def bucket(key: Column, n: int) -> Column:

@@ -5,24 +5,38 @@ space one row: the sorted distinct fingerprints it holds, as bytes, and which
 of them it holds more than once. A range merges the sorted arrays of all
 buckets. A common fingerprint thus travels once for each bucket, whatever
 share of the texts holds it.
+
+What earlier loads held is in a log-structured store of sorted runs, which a new
+batch is merge-joined with where the runs lie.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import U64, is_in
-from sonaria.llm.common import kept, shared_dir
+from sonaria.llm.common import drop_dir, estimated, kept, partitions, read_text, shared_dir, write_text
 
+#: Bytes of input for each range of the hash space, of which fingerprints are about a fifth.
+RANGE = 1 << 27
 #: Two of a fingerprint are as good as many.
 MANY = 2
 SOURCES = "t int, src int, keys binary, counts binary, weights binary"
 RUNS = "t int, kind int, keys binary, counts binary, weights binary"
 
 
+def ranges_for(docs: DataFrame) -> int:
+    """How many ranges of the hash space: the shuffle partitions, or more, so that a range's share stays bounded."""
+    return max(partitions(docs.sparkSession), estimated(docs) // RANGE)
+
+
 def u64(b) -> np.ndarray:
     return np.frombuffer(b, U64)
 
@@ -72,29 +86,25 @@ def source_rows(src: int, keys: np.ndarray, counts: np.ndarray, weights: np.ndar
     )
 
 
-def _arrays(t: pa.Table, of: str | None = None, equal: int | None = None) -> tuple[list, list, list]:
-    rows = [i for i, x in enumerate(t[of].to_pylist()) if x == equal] if of else range(len(t))
+def _arrays(t: pa.Table, src: int | None = None) -> tuple[list, list, list]:
+    rows = range(len(t)) if src is None else [i for i, x in enumerate(t["src"].to_pylist()) if x == src]
     k, c, w = (blobs(t[x]) for x in ("keys", "counts", "weights"))
     return [u64(k[i]) for i in rows], [np.frombuffer(c[i], np.uint8) for i in rows], [np.frombuffer(w[i], np.uint64) for i in rows]
 
 
-#: kind of a row: a run's fingerprints, those of a new batch, or repeats that a batch has made known.
-RUN, NEW, REPEATED = 0, 1, 2
+#: kind of a row: a run's fingerprints, or repeats that a batch has made known.
+RUN, REPEATED = 0, 1
 
 
-def _ingest(table: pa.Table) -> pa.Table:
+def _ingest(new: pa.Table, old: pa.Table) -> pa.Table:
     """Merge-join of a new batch's fingerprints with the runs, in one range."""
-    t = table["t"][0].as_py()
-    new = merge(*_arrays(table, "kind", NEW))
-    old = merge(*_arrays(table, "kind", RUN))
-    both = merge([new[0], old[0]], [new[1], old[1]], [new[2], old[2]])
-    again = (both[1] >= MANY) & is_in(both[0], new[0])
-    rows = [(RUN, *new), (REPEATED, *(x[again] for x in both))]
-    return _rows(t, [r for r in rows if len(r[1])])
-
-
-def _compact(table: pa.Table) -> pa.Table:
-    return _rows(table["t"][0].as_py(), [(RUN, *merge(*_arrays(table)))])
+    if not len(new):
+        return _rows(0, [])
+    fresh, known = merge(*_arrays(new)), merge(*_arrays(old))
+    both = merge(*([a, b] for a, b in zip(fresh, known, strict=True)))
+    again = (both[1] >= MANY) & is_in(both[0], fresh[0])
+    rows = [(RUN, *fresh), (REPEATED, *(x[again] for x in both))]
+    return _rows(new["t"][0].as_py(), [r for r in rows if len(r[1])])
 
 
 def _rows(t: int, rows: list) -> pa.Table:
@@ -109,60 +119,88 @@ def _rows(t: int, rows: list) -> pa.Table:
     )
 
 
-class FingerprintIndex:
-    """A log-structured index of fingerprints.
+class RunStore:
+    """A log-structured store of sorted runs at a path that the driver and all executors see.
 
-    Runs are immutable Parquet tables of sorted fingerprints, one row for each
-    range of the hash space. add() merge-joins a batch with the live runs,
-    tells which fingerprints the batch has made repeated, and writes the batch
-    as a new run of level 0. When a level has `fanout` runs they are compacted
-    into one run of the next level. A crash between two writes leaves only
-    unreferenced tables behind; the runs named in `levels` are always whole.
+    Runs are immutable: one row of `RUNS` without kind for each range of the hash space, bucketed by range, so that
+    what lies there is merge-joined with a new batch without an exchange of its own. When a level has `fanout` runs,
+    compact() merges them, again in place, into one run of the next level. Manifests name the live runs; the last one
+    written counts, so a crash between two writes leaves only unreferenced files behind. One process writes at a time.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3) -> None:
-        self.spark, self.fanout = spark, fanout
-        self.path = shared_dir(spark, "index")
-        self.levels: list[list[DataFrame]] = [[]]
-        self.n = 0
-
-    def _write(self, df: DataFrame) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, ranges: int, fanout: int, live: list, n: int, merged: Callable) -> None:
+        self.spark, self.path, self.ranges, self.fanout, self.live, self.n, self.merged = spark, path, ranges, fanout, live, n, merged
+        self.table = f"runs_{uuid.uuid4().hex}"
+        columns = "t int, keys binary, counts binary, weights binary, level int, seq int"
+        spark.sql(f"create table {self.table} ({columns}) using parquet partitioned by (level, seq) clustered by (t) into {ranges} buckets location '{path}/runs'")
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, ranges: int, fanout: int = 4, merged: Callable = merge) -> RunStore:
+        out = cls(spark, path, ranges, fanout, [], 0, merged)
+        out._say()
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, merged: Callable = merge) -> RunStore:
+        told = json.loads(read_text(spark, f"{path}/manifest"))
+        out = cls(spark, path, told["ranges"], told["fanout"], told["live"], told["n"], merged)
+        spark.sql(f"alter table {out.table} recover partitions")
+        return out
+
+    def close(self) -> None:
+        """Forget the table; its files stay."""
+        self.spark.sql(f"drop table if exists {self.table}")
+
+    def _say(self) -> None:
+        write_text(self.spark, f"{self.path}/manifest", json.dumps({"ranges": self.ranges, "fanout": self.fanout, "live": self.live, "n": self.n}))
+
+    def rows(self, runs: list | None = None) -> DataFrame:
+        """The rows of live runs, or of some."""
+        some = self.live if runs is None else runs
+        which = " or ".join(f"level = {level} and seq = {seq}" for level, seq in some) or "false"
+        return self.spark.table(self.table).filter(which).select("t", "keys", "counts", "weights")
+
+    def _write(self, rows: DataFrame, level: int) -> list:
         self.n += 1
-        path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(RUNS).parquet(path)
-
-    def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """batch: rows of SOURCES. Returns rows (t, kind, keys, counts, weights) of the fingerprints now known as
-        repeated that the batch holds, be it within the batch or against what came before."""
-        rows = batch.select("t", F.lit(NEW).alias("kind"), "keys", "counts", "weights")
-        for run in self.runs():
-            rows = rows.unionByName(run)
-        done = self._write(rows.groupBy("t").applyInArrow(_ingest, RUNS))
-        self.levels[0].append(done.filter(F.col("kind") == RUN))
-        self._compact()
-        return done.filter(F.col("kind") == REPEATED)
-
-    def _compact(self) -> None:
-        for k, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
-                rows = level[0]
-                for run in level[1:]:
-                    rows = rows.unionByName(run)
-                run = self._write(rows.groupBy("t").applyInArrow(_compact, RUNS))
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(run)
-                level.clear()
+        rows.select("t", "keys", "counts", "weights", F.lit(level).alias("level"), F.lit(self.n).alias("seq")).write.insertInto(self.table)
+        return [level, self.n]
+
+    def add(self, rows: DataFrame) -> None:
+        """A new run of level 0 of rows (t, keys, counts, weights), one for each range."""
+        self.live = [*self.live, self._write(rows, 0)]
+        self._say()
+        self.compact()
+
+    def compact(self) -> None:
+        level = 0
+        while some := [r for r in self.live if r[0] == level]:
+            if len(some) >= self.fanout:
+                merged = self.merged
+
+                def one(t: pa.Table) -> pa.Table:
+                    return _rows(t["t"][0].as_py(), [(RUN, *merged(*_arrays(t)))])
+
+                run = self._write(self.rows(some).groupBy("t").applyInArrow(one, RUNS), level + 1)
+                self.live = [r for r in self.live if r not in some] + [run]
+                self._say()
+                for k, n in some:
+                    drop_dir(self.spark, f"{self.path}/runs/level={k}/seq={n}")
+            level += 1
+
+
+def ingest(store: RunStore, batch: DataFrame) -> DataFrame:
+    """Add a batch, rows of SOURCES, to a store of fingerprints. Returns rows (t, kind, keys, counts, weights) of those now
+    known as repeated that the batch holds, be it within the batch or against what came before."""
+    new = batch.select("t", "keys", "counts", "weights")
+    done = kept(new.groupBy("t").cogroup(store.rows().groupBy("t")).applyInArrow(_ingest, RUNS), "ingested")
+    store.add(done.filter(F.col("kind") == RUN))
+    return done.filter(F.col("kind") == REPEATED)
 
 
 def _route(table: pa.Table) -> pa.Table:
     """What each bucket holds of the repeated fingerprints of a range."""
     t = table["t"][0].as_py()
-    keys, _, weights = merge(*_arrays(table, "src", -1))
+    keys, _, weights = merge(*_arrays(table, -1))
     out = []
     src, held = table["src"].to_pylist(), blobs(table["keys"])
     for s, k in zip(src, held, strict=True):
@@ -180,16 +218,19 @@ def _route(table: pa.Table) -> pa.Table:
     )
 
 
-def repeated(sources: DataFrame, batches: int) -> DataFrame:
-    """(t, src, keys, weights): for each bucket the fingerprints that occur at least twice in all.
+def repeated(sources: DataFrame, batches: int, ranges: int, store: RunStore | None = None) -> DataFrame:
+    """(t, src, keys, weights): for each bucket the fingerprints that occur at least twice in all, in the store too.
 
     sources: rows of SOURCES, already written. The buckets arrive in `batches` batches, as the daily loads of a
-    growing corpus do, and each is deduplicated against the index of all before it.
+    growing corpus do, and each is deduplicated against all before it. Without a store one is made for them.
     """
-    index = FingerprintIndex(sources.sparkSession)
+    spark = sources.sparkSession
+    own = RunStore.create(spark, shared_dir(spark, "index"), ranges, fanout=2) if store is None else store
     hits = None
     for b in range(batches):
-        found = index.add(sources.filter(F.pmod(F.col("src"), F.lit(batches)) == b))
+        found = ingest(own, sources.filter(F.pmod(F.col("src"), F.lit(batches)) == b))
         hits = found if hits is None else hits.unionByName(found)
+    if store is None:
+        own.close()
     rows = sources.unionByName(hits.select("t", F.lit(-1).alias("src"), "keys", F.lit(b"").alias("counts"), "weights").withColumn("counts", F.expr("cast(repeat('0', int(length(keys) / 8)) as binary)")))
     return kept(rows.groupBy("t").applyInArrow(_route, "t int, src int, keys binary, weights binary"), "repeats")

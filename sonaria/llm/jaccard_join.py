@@ -339,7 +339,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
     placed = kept(placed, "clusters")
     blocks = placed.groupBy("root").agg(F.ceil(F.sum("n_bytes") / F.lit(BLOCK)).cast("int").alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t2"), F.col("text").cast("string").alias("text"))
-    texts = placed.join(blocks, "root").join(texts, F.expr("doc_id <=> id and t = t2")).select(F.col("u").alias("node"), F.col("root").alias("cluster"), "blocks", "text")
+    texts = placed.join(blocks, "root").join(texts.hint("merge"), F.expr("doc_id <=> id and t = t2")).select(F.col("u").alias("node"), F.col("root").alias("cluster"), "blocks", "text")
     found = _blocked(texts, "cluster", "node", 4 * groups).groupBy("g").applyInArrow(lambda t: _verify(t, n, threshold, least), "node long, links long, root long")
     found = kept(found, "links")
     linked = found.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.llm.arrays import BYTE_VALUES, U64, Rolling, chunks, cover, distinct, flat, is_in, winnow
-from sonaria.llm.common import bound_batches, bucket, buckets, kept, partitions
-from sonaria.llm.exchange import SOURCES, blobs, pieces, repeated, source_rows, u64
+from sonaria.llm.common import bound_batches, bucket, buckets, kept
+from sonaria.llm.exchange import SOURCES, blobs, pieces, ranges_for, repeated, source_rows, u64
 from sonaria.llm.substring_dedup import spans
 
 OUT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
@@ -362,10 +362,10 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 64, batches: int = 3,
     length are read whole.
     """
     bound_batches(docs.sparkSession)
-    n = partitions(docs.sparkSession)
+    n = ranges_for(docs)
     d = docs.select(bucket(F.concat_ws(" ", F.xxhash64("doc_id"), F.xxhash64("text")), buckets(docs)).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sources = kept(d.groupBy("b").applyInArrow(lambda t: _fingerprints(t, length, gram, n), SOURCES), "sources")
-    flagged = repeated(sources, batches)
+    flagged = repeated(sources, batches, n)
     side = flagged.select("src", "t", F.lit(FLAGGED).alias("kind"), "keys", "weights", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
     sent = d.groupBy("b").cogroup(side.groupBy("src")).applyInArrow(lambda x, y: _send(x, y, length, gram, split, n), SENT)
     side = side.unionByName(sent.groupBy("t").applyInArrow(lambda t: _verify(t, length), SIDE))

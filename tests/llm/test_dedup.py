@@ -59,6 +59,26 @@ def test_bytes(spark, length, split):
     assert sorted(got, key=repr) == sorted(brute_bytes(rows, length), key=repr)
 
 
+def test_index_that_outlives_a_run(spark, tmp_path):
+    """Later loads against a stored index equal their share of a run over everything up to them."""
+    r = random.Random(8)
+    rows = texts() + [(100 + i, t) for i, (_, t) in enumerate(texts()[:9])] + [(200 + i, " ".join(r.choices(["u", "v", "w", "xy"], k=80))) for i in range(9)]
+    loads = [rows[i::4] for i in range(4)]
+    path = f"file://{tmp_path}/index"
+    seen = []
+    for k, load in enumerate(loads):
+        index = substring_dedup.Index.create(spark, path, 4, fanout=2) if k == 0 else substring_dedup.Index.open(spark, path)
+        df = spark.createDataFrame(load, "doc_id long, text string")
+        got = [(x.doc_id, x.n_words, sum(s.end - s.start for s in x.removed), x.kept) for x in substring_dedup.dedup(df, 12, 5, 1, index).collect()]
+        whole = brute_words(seen + load, 12)[len(seen) :]
+        assert sorted(got, key=repr) == sorted(whole, key=repr)
+        assert len(index.windows.live) <= 2 and len(index.fingerprints.live) <= 2
+        joined = index.fingerprints.rows().groupBy("t").applyInArrow(lambda t: t.select(["t"]).slice(0, 1), "t int")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        seen += load
+        index.close()
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, removed int")
     assert substring_dedup.dedup(df).count() == 0
