@@ -44,10 +44,13 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float | None = None, h
 
 
 def overlap_counts(source: DataFrame, target: DataFrame) -> DataFrame:
-    """source with n_overlaps, the number of target intervals that overlap each."""
+    """source with n_overlaps, the number of target intervals that overlap each. Rows that are repeated are rows each."""
     t = target.select("file", "start_s", "end_s")
-    pairs = overlap_join(source, t, how="left")
-    return pairs.groupBy(*source.columns).agg(F.count("r_start_s").alias("n_overlaps"))
+    times = "times_of_row"
+    once = source.groupBy(*source.columns).agg(F.count("*").alias(times))
+    pairs = overlap_join(once, t, how="left")
+    counted = pairs.groupBy(*source.columns, times).agg(F.count("r_start_s").alias("n_overlaps"))
+    return counted.withColumn(times, F.explode(F.sequence(F.lit(1), times))).drop(times)
 
 
 def iou(a0: str, a1: str, b0: str, b1: str) -> Column:

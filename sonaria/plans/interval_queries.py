@@ -91,19 +91,10 @@ def anti_unmatched(spark, d):
     return gt.join(j.select("file", "id"), ["file", "id"], "left_anti").select("file", "id")
 
 
-def _chunk_window_join(spark, d, chunks):
-    c = iv.chunk_windows(chunks.select("file", "id", "start_s"), v.predictions(spark, d), 2 * HOUR)
-    return c.select("file", "chunk_id", "id", r("rel_start").alias("rel_start"), r("rel_end").alias("rel_end"))
-
-
 def chunk_window_join(spark, d):
-    """Chunks of each fifth call only, as its SQL says."""
-    return _chunk_window_join(spark, d, v.truth(spark, d).filter("id % 5 = 0"))
-
-
-def chunk_window_join_all(spark, d):
     """A chunk for every call."""
-    return _chunk_window_join(spark, d, v.truth(spark, d))
+    c = iv.chunk_windows(v.truth(spark, d).select("file", "id", "start_s"), v.predictions(spark, d), 2 * HOUR)
+    return c.select("file", "chunk_id", "id", r("rel_start").alias("rel_start"), r("rel_end").alias("rel_end"))
 
 
 def positive_duration(spark, d):
@@ -130,7 +121,7 @@ def _files(spark, d):
 
 
 def event_metrics(spark, d):
-    return metrics.event_metrics(_files(spark, d))
+    return metrics.event_metrics(_files(spark, d)).withColumns({c: r(c) for c in ("precision", "recall", "f1", "avg_iou", "boundary_error")})
 
 
 def per_file_rollup(spark, d):
@@ -235,8 +226,29 @@ GAPS = f"""wide AS (SELECT file, greatest(start_s - 0.5, 0) AS s, least(end_s +
     gaps AS (SELECT * FROM (SELECT file, coalesce(upto, 0) AS gap_start, s AS gap_end FROM before UNION ALL SELECT file, coalesce(max(e), 0), 2592000 FROM dur LEFT JOIN busy USING (file) GROUP BY file) WHERE gap_end - gap_start >= 2)"""
 HASH = "('0x' || substr(md5({0}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
 PRF = """CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0 END AS r"""
+#: The best matching by trying all: within each connected part of the overlaps, truths one after another take a free
+#: prediction or none.
+MATCHED = """pairs AS MATERIALIZED (SELECT *, inter / ((te - ts) + (pe - ps) - inter) AS iou FROM (SELECT gt.file, gt.id AS t, pred.id AS p, gt.start_s AS ts, gt.end_s AS te, pred.start_s AS ps, pred.end_s AS pe,
+        least(gt.end_s, pred.end_s) - greatest(gt.start_s, pred.start_s) AS inter FROM gt JOIN pred ON gt.file = pred.file AND gt.start_s < pred.end_s AND pred.start_s < gt.end_s)),
+    reach AS (SELECT DISTINCT t, t AS r FROM pairs UNION SELECT b.t, reach.r FROM reach JOIN pairs a ON a.t = reach.t JOIN pairs b ON b.file = a.file AND b.p = a.p),
+    part AS MATERIALIZED (SELECT t, min(r) AS c FROM reach GROUP BY t),
+    nth AS MATERIALIZED (SELECT c, t, row_number() OVER (PARTITION BY c ORDER BY t) AS k, count(*) OVER (PARTITION BY c) AS n FROM part),
+    choice AS MATERIALIZED (SELECT t, p, iou FROM pairs UNION ALL SELECT t, NULL, 0 FROM part),
+    state AS (SELECT DISTINCT c, n, 0::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[] AS taken, 0.0::DOUBLE AS total FROM nth
+        UNION ALL SELECT s.c, s.n, nth.k, CASE WHEN o.p IS NULL THEN used ELSE list_append(used, o.p) END, CASE WHEN o.p IS NULL THEN taken ELSE list_append(taken, nth.t) END, total + o.iou
+        FROM state s JOIN nth ON nth.c = s.c AND nth.k = s.k + 1 JOIN choice o ON o.t = nth.t WHERE o.p IS NULL OR NOT list_contains(used, o.p)),
+    best AS (SELECT arg_max(used, total) AS used, arg_max(taken, total) AS taken FROM state WHERE k = n GROUP BY c),
+    matched AS (SELECT pairs.* FROM (SELECT unnest(taken) AS t, unnest(used) AS p FROM best) JOIN pairs USING (t, p))"""
+EVENTS = """SELECT threshold, tp, fp, fn, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall, round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) + 0.0 AS f1,
+    round(CASE WHEN tp > 0 THEN s / tp ELSE 0 END, 6) + 0.0 AS avg_iou, round(CASE WHEN tp > 0 THEN e / (2 * tp) END, 6) + 0.0 AS boundary_error
+    FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM (
+        SELECT threshold, tp, (SELECT count(*) FROM pred) - tp AS fp, (SELECT count(*) FROM gt) - tp AS fn, s, e FROM (
+            SELECT threshold, count(*) FILTER (WHERE iou >= threshold) AS tp, sum(iou) FILTER (WHERE iou >= threshold) AS s, sum(abs(ps - ts) + abs(pe - te)) FILTER (WHERE iou >= threshold) AS e
+            FROM matched, (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS threshold) GROUP BY threshold)))"""
 
 SQL = {
+    "hungarian_match": sql("SELECT file, t AS t_id, p AS p_id, round(iou, 6) + 0.0 AS iou FROM matched", "gt", "pred", more=MATCHED),
+    "event_metrics": sql(EVENTS, "gt", "pred", more=MATCHED),
     "interval_overlap_join": sql(f"SELECT a.file, a.id, b.id AS r_id, round(least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s), 6) + 0.0 AS shared_s FROM gt a JOIN pred b ON {TOUCH}", "gt", "pred"),
     "interval_iou": sql(f"SELECT a.file, a.id, b.id AS r_id, round({IOU}, 6) + 0.0 AS iou FROM gt a JOIN pred b ON {TOUCH}", "gt", "pred"),
     "overlap_count_left": sql("SELECT * FROM counted", "gt", "pred", more=COUNTED),
@@ -266,9 +278,6 @@ SQL = {
     "semi_has_audio": sql("SELECT file, id FROM gt WHERE file IN (SELECT file FROM dur WHERE file::INTEGER % 3 = 0)", "gt", "dur"),
     "anti_unmatched": sql(f"SELECT file, id FROM gt WHERE (file, id) NOT IN (SELECT (a.file, a.id) FROM gt a JOIN pred b ON {TOUCH} WHERE {IOU} >= 0.3)", "gt", "pred"),
     "chunk_window_join": sql(
-        """SELECT a.file, a.id AS chunk_id, b.id, round(greatest(b.start_s, a.start_s) - a.start_s, 6) + 0.0 AS rel_start, round(least(b.end_s, a.start_s + 7200) - a.start_s, 6) + 0.0 AS rel_end
-        FROM gt a JOIN pred b ON a.file = b.file AND a.start_s < b.end_s AND b.start_s < a.start_s + 7200 WHERE a.id % 5 = 0""", "gt", "pred"),
-    "chunk_window_join_all": sql(
         """SELECT a.file, a.id AS chunk_id, b.id, round(greatest(b.start_s, a.start_s) - a.start_s, 6) + 0.0 AS rel_start, round(least(b.end_s, a.start_s + 7200) - a.start_s, 6) + 0.0 AS rel_end
         FROM gt a JOIN pred b ON a.file = b.file AND a.start_s < b.end_s AND b.start_s < a.start_s + 7200""", "gt", "pred"),
     "positive_duration": sql("SELECT id, round(greatest(start_s - end_s, 0), 6) + 0.0 AS backward_s, round(greatest(end_s - start_s, 0), 6) + 0.0 AS forward_s FROM iv", "iv"),
@@ -308,7 +317,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_overlap_join, interval_iou, overlap_count_left, merge_frag_rate, overlap_groups, overlap_group_members, noise_gaps, longest_solo, gap_merge, rasterize_frames, frame_confusion, rect_mask,
-        file_universe, semi_has_audio, anti_unmatched, chunk_window_join, chunk_window_join_all, positive_duration, weighted_sample_hash, collar_greedy_match, hungarian_match, event_metrics, per_file_rollup, pr_f1_safe, fa_per_hour,
+        file_universe, semi_has_audio, anti_unmatched, chunk_window_join, positive_duration, weighted_sample_hash, collar_greedy_match, hungarian_match, event_metrics, per_file_rollup, pr_f1_safe, fa_per_hour,
         report_lines, selection_ids, dummy_annotations, basename_trim, rumble_filter, frequency_defaults, frame_bin_index, format_mmss, timeline_percent, session_merge, tumbling_rms,
     )
 }

@@ -70,11 +70,6 @@ def _timevarying_comb(frames, grid):
 
 
 def timevarying_comb(spark, d):
-    """The first frames and the low grid only, as its SQL says."""
-    return _timevarying_comb(v.frames(spark, d).filter("frame < 12"), _grid(spark).filter("freq < 300"))
-
-
-def timevarying_comb_all(spark, d):
     """Every frame and the whole grid."""
     return _timevarying_comb(v.frames(spark, d), _grid(spark))
 
@@ -183,11 +178,6 @@ def _positional_assign(vectors, customers):
 
 
 def positional_assign(spark, d):
-    """The first candidates and customers only, as its SQL says."""
-    return _positional_assign(v.vectors(spark, d).filter("vec_id < 60"), v.table(spark, d, "customer").filter("c_custkey < 100"))
-
-
-def positional_assign_all(spark, d):
     """Every candidate and customer."""
     return _positional_assign(v.vectors(spark, d), v.table(spark, d, "customer"))
 
@@ -280,11 +270,6 @@ def _clip_lookup(spark, d, clips):
 
 
 def clip_lookup(spark, d):
-    """A range of clips only, as its SQL says."""
-    return _clip_lookup(spark, d, _clips(spark, d).filter("clip_id between 100 and 300"))
-
-
-def clip_lookup_all(spark, d):
     """Every clip."""
     return _clip_lookup(spark, d, _clips(spark, d))
 
@@ -295,11 +280,6 @@ def _caller_nesting_json(clips):
 
 
 def caller_nesting_json(spark, d):
-    """The first clips only, as its SQL says."""
-    return _caller_nesting_json(_clips(spark, d).filter("clip_id < 2000"))
-
-
-def caller_nesting_json_all(spark, d):
     """Every clip."""
     return _caller_nesting_json(_clips(spark, d))
 
@@ -341,8 +321,7 @@ SQL = {
     "harmonic_salience": sql("SELECT vec_id, cand, round(salience, 4) + 0.0 AS salience FROM sal", "spec", more=SAL),
     "harmonic_contrast": sql("SELECT vec_id, arg_max(cand, (s, -cand)) FILTER (WHERE cand <= 10) AS best_f0, max(s) FILTER (WHERE cand <= 10) AS low, max(s) FILTER (WHERE cand > 10) AS high, max(s) FILTER (WHERE cand <= 10) > 1.05::DOUBLE * max(s) FILTER (WHERE cand > 10) AS gate FROM (SELECT vec_id, cand, round(salience, 4) + 0.0 AS s FROM sal) GROUP BY vec_id", "spec", more=SAL),
     "harmonic_comb": sql(f"SELECT f0, freq, round({COMB}, 6) + 0.0 AS comb FROM (SELECT unnest(generate_series(0, 79)) * 0.5::DOUBLE + 8 AS f0), grid", more=GRID),
-    "timevarying_comb": sql(f"SELECT file, frame, round(sum({COMB}), 4) + 0.0 AS total, round(max({COMB}), 4) + 0.0 AS most FROM (SELECT file, frame, best_f0 AS f0 FROM fr WHERE frame < 12), grid WHERE freq < 300 GROUP BY file, frame", "fr", more=GRID),
-    "timevarying_comb_all": sql(f"SELECT file, frame, round(sum({COMB}), 4) + 0.0 AS total, round(max({COMB}), 4) + 0.0 AS most FROM (SELECT file, frame, best_f0 AS f0 FROM fr), grid GROUP BY file, frame", "fr", more=GRID),
+    "timevarying_comb": sql(f"SELECT file, frame, round(sum({COMB}), 4) + 0.0 AS total, round(max({COMB}), 4) + 0.0 AS most FROM (SELECT file, frame, best_f0 AS f0 FROM fr), grid GROUP BY file, frame", "fr", more=GRID),
     "wiener_mask": sql("SELECT vec_id, i, caller, round(CASE caller WHEN 0 THEN abs(x) * 0.5::DOUBLE ELSE abs(y) END / (abs(x) * 0.5::DOUBLE + abs(y) + 1e-8), 6) + 0.0 AS mask FROM pr, (SELECT unnest([0, 1])::INTEGER AS caller)", "pr"),
     "mask_apply": sql("SELECT vec_id, i, round(CASE WHEN i % 3 <> 0 THEN v * abs(v) ELSE 0 END, 6) + 0.0 AS re, round(CASE WHEN i % 3 <> 0 THEN -v / 2 * abs(v) ELSE 0 END, 6) + 0.0 AS im FROM emb", "emb"),
     "mask_upsample": sql("SELECT a.vec_id, f AS frame, round(abs(a.v) + (abs(b.v) - abs(a.v)) * (f * 63 / 255.0::DOUBLE - floor(f * 63 / 255.0::DOUBLE)), 6) + 0.0 AS mask FROM (SELECT unnest(generate_series(0, 255))::INTEGER AS f) JOIN emb a ON a.i = floor(f * 63 / 255.0::DOUBLE) JOIN emb b ON b.vec_id = a.vec_id AND b.i = ceil(f * 63 / 255.0::DOUBLE)", "emb"),
@@ -365,9 +344,7 @@ SQL = {
         """SELECT vec_id, count(*) FILTER (WHERE is_on AND NOT prev) AS harmonic_count, CASE WHEN count(*) FILTER (WHERE is_on AND NOT prev) > 0 THEN max(bin) FILTER (WHERE is_on) END AS highest_bin FROM (SELECT *, lag(is_on, 1, true) OVER (PARTITION BY vec_id ORDER BY bin) AS prev FROM
         (SELECT vec_id, bin, m > 0.5::DOUBLE * max(m) OVER (PARTITION BY vec_id) AS is_on FROM (SELECT vec_id, bin, round(mag, 4) + 0.0 AS m FROM spec))) GROUP BY vec_id""", "spec"),
     "tolerance_anti": sql("SELECT vec_id, f FROM p a WHERE vec_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.vec_id % 10 = 0 AND b.label = a.label AND a.f - b.f < 3.0 AND b.f - a.f < 3.0)", "emb", more="p AS (SELECT vec_id, label, round(v * 100, 6) + 0.0 AS f FROM emb WHERE i = 0)"),
-    "positional_assign": """WITH c AS (SELECT label, vec_id AS cand, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE vec_id < 60), n AS (SELECT c_custkey, (c_custkey % 10)::INTEGER AS label,
-        row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS k FROM customer WHERE c_custkey < 100) SELECT c_custkey, coalesce(c.cand, f.cand) AS cand FROM n LEFT JOIN c USING (label, k) LEFT JOIN (SELECT label, cand FROM c WHERE k = 1) f USING (label)""",
-    "positional_assign_all": """WITH c AS (SELECT label, vec_id AS cand, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), n AS (SELECT c_custkey, (c_custkey % 10)::INTEGER AS label,
+    "positional_assign": """WITH c AS (SELECT label, vec_id AS cand, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), n AS (SELECT c_custkey, (c_custkey % 10)::INTEGER AS label,
         row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS k FROM customer) SELECT c_custkey, coalesce(c.cand, f.cand) AS cand FROM n LEFT JOIN c USING (label, k) LEFT JOIN (SELECT label, cand FROM c WHERE k = 1) f USING (label)""",
     "cluster_centroids": sql("SELECT label, count(*) AS n, i, round(avg(v), 6) + 0.0 AS v FROM emb GROUP BY label, i", "emb"),
     "centroid_merge_cc": sql(
@@ -389,12 +366,8 @@ SQL = {
     "registry_dump": sql("SELECT elephant_id, clip_id, parent_wav, round(start_time, 6) + 0.0 AS start_time FROM clips", more=CLIPS),
     "registry_rename": "SELECT c_name AS elephant_id, CASE WHEN c_custkey % 9 = 0 THEN 'N' || c_custkey ELSE c_mktsegment END AS nickname FROM customer",
     "clips_for_parent": sql("SELECT clip_id, elephant_id, round(start_time, 6) + 0.0 AS start_time FROM clips WHERE parent_wav = 'rec 70.wav'", more=CLIPS),
-    "clip_lookup": sql("SELECT clip_id, parent_wav FROM clips WHERE clip_id BETWEEN 100 AND 300 AND parent_wav IN (SELECT 'rec ' || c_custkey || '.wav' FROM customer WHERE c_custkey % 2 = 0)", more=CLIPS),
-    "clip_lookup_all": sql("SELECT clip_id, parent_wav FROM clips WHERE parent_wav IN (SELECT 'rec ' || c_custkey || '.wav' FROM customer WHERE c_custkey % 2 = 0)", more=CLIPS),
+    "clip_lookup": sql("SELECT clip_id, parent_wav FROM clips WHERE parent_wav IN (SELECT 'rec ' || c_custkey || '.wav' FROM customer WHERE c_custkey % 2 = 0)", more=CLIPS),
     "caller_nesting_json": sql(
-        """SELECT parent_wav, '{"parent_wav":"' || parent_wav || '","detected_callers":' || count(*) || ',"callers":[' || string_agg('{"elephant_id":"' || elephant_id || '","clips":[' || j || ']}', ',' ORDER BY elephant_id) || '],"clip_count":' || sum(n)::BIGINT || '}' AS json FROM
-        (SELECT parent_wav, elephant_id, count(*) AS n, string_agg('{"clip_id":' || clip_id || ',"start_time":' || floor(start_time)::BIGINT || ',"clip_type":"' || clip_type || '"}', ',' ORDER BY floor(start_time), clip_id) AS j FROM clips WHERE clip_id < 2000 GROUP BY parent_wav, elephant_id) GROUP BY parent_wav""", more=CLIPS),
-    "caller_nesting_json_all": sql(
         """SELECT parent_wav, '{"parent_wav":"' || parent_wav || '","detected_callers":' || count(*) || ',"callers":[' || string_agg('{"elephant_id":"' || elephant_id || '","clips":[' || j || ']}', ',' ORDER BY elephant_id) || '],"clip_count":' || sum(n)::BIGINT || '}' AS json FROM
         (SELECT parent_wav, elephant_id, count(*) AS n, string_agg('{"clip_id":' || clip_id || ',"start_time":' || floor(start_time)::BIGINT || ',"clip_type":"' || clip_type || '"}', ',' ORDER BY floor(start_time), clip_id) AS j FROM clips GROUP BY parent_wav, elephant_id) GROUP BY parent_wav""", more=CLIPS),
     "dominant_type": "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY user_id, event_type) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1",
@@ -409,9 +382,9 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        short_dft, mean_spectrum, peak_argmax, frequency_crop, db_normalise, sigmoid_threshold, harmonic_salience, harmonic_contrast, harmonic_comb, timevarying_comb, timevarying_comb_all, wiener_mask, mask_apply, mask_upsample,
-        ideal_binary_mask, snr_mix, unit_power, peak_limit, signal_power, two_source_mixture, chunk_pad_slice, rms_windows, murmur_clips, region_composite, spectral_centroid, harmonic_count, tolerance_anti, positional_assign, positional_assign_all,
+        short_dft, mean_spectrum, peak_argmax, frequency_crop, db_normalise, sigmoid_threshold, harmonic_salience, harmonic_contrast, harmonic_comb, timevarying_comb, wiener_mask, mask_apply, mask_upsample,
+        ideal_binary_mask, snr_mix, unit_power, peak_limit, signal_power, two_source_mixture, chunk_pad_slice, rms_windows, murmur_clips, region_composite, spectral_centroid, harmonic_count, tolerance_anti, positional_assign,
         cluster_centroids, centroid_merge_cc, knn_label, dc_loss_gram, bce_logits, pair_sampling_hash, labels_without_noise, hdbscan_cluster, multipitch_iterative, registry_register, registry_new_ids,
-        registry_dump, registry_rename, clips_for_parent, clip_lookup, clip_lookup_all, caller_nesting_json, caller_nesting_json_all, dominant_type, overview_counts, clip_filename, sql_functions,
+        registry_dump, registry_rename, clips_for_parent, clip_lookup, caller_nesting_json, dominant_type, overview_counts, clip_filename, sql_functions,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,31 +33,45 @@ def sliding_std(events: DataFrame, size: str, step: str, late: str = "10 minutes
 
 
 GROUPS = "file string, group_start double, group_end double, group_size long"
-STATE = "group_start double, group_end double, group_size long"
+STATE = "group_start double, group_end double, group_size long, starts array<double>, ends array<double>"
 
 
 def overlap_groups(intervals: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """(file, group_start, group_end, group_size) of intervals (file, ts, start_s, end_s) that overlap transitively, in
-    order of start. A group is told when an interval starts at or after its end, or when time has passed its end; the
-    state of a file is one open group."""
+    """(file, group_start, group_end, group_size) of intervals (file, ts, start_s, end_s) that overlap transitively.
+    start_s and end_s are seconds of the clock that ts is of; rows may come in any order within the watermark's delay.
+
+    Intervals wait until the watermark has passed their start, as no row that starts before can come then, and join
+    the open group in order of start. A group is told when an interval starts at or after its end, or when the
+    watermark has passed its end. The state of a file is one open group and the intervals that wait."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        out = []
-        begin, end, n = state.get if state.exists else (None, None, 0)
+        begin, end, n, starts, ends = state.get if state.exists else (0.0, 0.0, 0, [], [])
+        waiting = list(zip(starts, ends, strict=True))
         if not state.hasTimedOut:
-            rows = pd.concat(list(batches)).sort_values(["start_s", "end_s"])
-            for s, e in zip(rows["start_s"], rows["end_s"], strict=True):
-                if n and s < end:
-                    end, n = max(end, e), n + 1
-                else:
-                    if n > 1:
-                        out.append((key[0], begin, end, n))
-                    begin, end, n = s, e, 1
-            state.update((float(begin), float(end), int(n)))
-            state.setTimeoutTimestamp(max(int(end * 1000), state.getCurrentWatermarkMs() + 1))
-        else:
+            for rows in batches:
+                waiting += zip(rows["start_s"].astype(float).tolist(), rows["end_s"].astype(float).tolist(), strict=True)
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs() / 1000
+        out, k = [], 0
+        while k < len(waiting) and waiting[k][0] <= passed:
+            s, e = waiting[k]
+            if n and s < end:
+                end, n = max(end, e), n + 1
+            else:
+                if n > 1:
+                    out.append((key[0], begin, end, n))
+                begin, end, n = s, e, 1
+            k += 1
+        del waiting[:k]
+        if n and end <= passed:
             if n > 1:
                 out.append((key[0], begin, end, n))
+            n = 0
+        if n or waiting:
+            state.update((float(begin), float(end), int(n), [s for s, _ in waiting], [e for _, e in waiting]))
+            due = min([end] * (n > 0) + [s for s, _ in waiting[:1]])
+            state.setTimeoutTimestamp(int(max(math.ceil(due * 1000), state.getCurrentWatermarkMs()) + 1))
+        elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["file", "group_start", "group_end", "group_size"])
 

@@ -111,6 +111,13 @@ def test_best_matching_is_the_best(spark):
         assert total.get(str(k), 0.0) == pytest.approx(best)
 
 
+def test_repeated_rows_count_each(spark):
+    g, p = frame(spark, [(0, 4), (10, 20)]), frame(spark, [(1, 2), (3, 5), (19, 21)])
+    g = g.unionByName(g.filter("id = 0"))
+    assert rows(iv.overlap_counts(g, p), "id", "n_overlaps") == [(0, 2), (0, 2), (1, 1)]
+    assert iv.overlap_counts(g, p.limit(0)).filter("n_overlaps = 0").count() == 3
+
+
 def test_threshold_comes_after_assignment(spark):
     # The best total pairs 0-0 (0.5) and 1-1 (0.9); at 0.7 the weaker pair becomes one miss and one false alarm.
     g, p = frame(spark, [(0, 4), (10, 20)]), frame(spark, [(0, 2), (10, 19)])

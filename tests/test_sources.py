@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -104,6 +106,19 @@ def test_stream_of_overlap_groups(spark, tmp_path):
     assert [tuple(x) for x in got] == [("f", 0.0, 8.0, 3)]
 
 
+def test_stream_of_overlap_groups_out_of_order(spark, tmp_path):
+    base = 1_704_067_200.0
+    loads = [[(10, 20), (40, 45)], [(0, 1), (18, 30), (44, 50)], [(29, 31), (2, 3), (9, 11)], [(90_000, 90_001)], [(200_000, 200_001)]]
+    for k, load in enumerate(loads):
+        rows = [("f", base + a, base + b) for a, b in load]
+        df = spark.createDataFrame(rows, "file string, start_s double, end_s double").selectExpr("file", "timestamp_micros(bigint(start_s * 1000000)) as ts", "start_s", "end_s")
+        df.coalesce(1).write.parquet(f"{tmp_path}/e/{k}")
+        os.utime([x for x in (tmp_path / "e" / str(k)).iterdir() if x.suffix == ".parquet"][0], (1e9 + k * 10, 1e9 + k * 10))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e/*")
+    got = run_stream(spark, windows.overlap_groups(stream, "10 minutes")).collect()
+    assert sorted((x.group_start - base, x.group_end - base, x.group_size) for x in got) == [(9, 31, 4), (40, 50, 2)]
+
+
 def test_uploads(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.wav").write_bytes(wav.encode(np.zeros(400), 4000))

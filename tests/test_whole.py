@@ -40,7 +40,7 @@ def test_comb_of_every_frame(spark, events, folder):
             n = np.clip(np.rint(freq / f0), 1, np.floor(1000 / f0))
             c = np.exp(-0.5 * ((freq - n * f0) / 2) ** 2)
             want[str(file), frame] = (c.sum(), c.max())
-    got = {(x.file, x.frame): (x.total, x.most) for x in catalog.QUERIES["timevarying_comb_all"](spark, folder).collect()}
+    got = {(x.file, x.frame): (x.total, x.most) for x in catalog.QUERIES["timevarying_comb"](spark, folder).collect()}
     assert got.keys() == want.keys() and len(got) == len(events)
     assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
 
@@ -51,14 +51,14 @@ def test_every_candidate_and_customer(spark, folder):
     for k in range(10):
         for n, c in enumerate(c for c in range(1, 401) if c % 10 == k):
             want[c] = (cands[k][n] if n < len(cands[k]) else cands[k][0]) if cands[k] else None
-    assert {x.c_custkey: x.cand for x in catalog.QUERIES["positional_assign_all"](spark, folder).collect()} == want
+    assert {x.c_custkey: x.cand for x in catalog.QUERIES["positional_assign"](spark, folder).collect()} == want
 
 
 def test_every_clip(spark, folder):
-    got = {x.clip_id: x.parent_wav for x in catalog.QUERIES["clip_lookup_all"](spark, folder).collect()}
+    got = {x.clip_id: x.parent_wav for x in catalog.QUERIES["clip_lookup"](spark, folder).collect()}
     assert got == {i: f"rec {c}.wav" for i, c, _ in ORDERS if c % 2 == 0}
     seen = set()
-    for x in catalog.QUERIES["caller_nesting_json_all"](spark, folder).collect():
+    for x in catalog.QUERIES["caller_nesting_json"](spark, folder).collect():
         told = json.loads(x.json)
         ids = [c["clip_id"] for caller in told["callers"] for c in caller["clips"]]
         assert told["parent_wav"] == x.parent_wav and told["clip_count"] == len(ids) and told["detected_callers"] == len(told["callers"])
@@ -75,7 +75,7 @@ def test_chunk_for_every_call(spark, events, folder):
             start, end = at[f[0]], at[f[0]] + f[4] * 600
             if c[1] == f[1] and start < at[c[0]] + 7200 and end > at[c[0]]:
                 want[str(c[1]), c[0], f[0]] = (max(start - at[c[0]], 0), min(end - at[c[0]], 7200))
-    got = {(x.file, x.chunk_id, x.id): (x.rel_start, x.rel_end) for x in catalog.QUERIES["chunk_window_join_all"](spark, folder).collect()}
+    got = {(x.file, x.chunk_id, x.id): (x.rel_start, x.rel_end) for x in catalog.QUERIES["chunk_window_join"](spark, folder).collect()}
     assert got.keys() == want.keys() and any(k[1] % 5 for k in got)
     assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
 
