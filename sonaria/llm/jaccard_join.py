@@ -9,12 +9,12 @@ matches is a Beta distribution, and the pair is dropped once the chance that
 it reaches the threshold falls below a tolerance. The others are verified on
 their whole shingle sets.
 
-Pairs of a bucket are listed only for small buckets. The members of larger
-ones meet in blocks: a task holds the signatures of two blocks of a bucket,
-prunes their pairs in the same way and returns a row for each node only, the
-least node that the pairs that stay connect it with. What is connected is then
-verified in blocks of bounded bytes: again a task holds two blocks, takes all
-their pairs through pruning and verification, and returns a row for each node.
+Buckets with one least node mostly hold the same nodes, so they are one group.
+A task holds the signatures of a group, or of two blocks of a large one, prunes
+its pairs and returns a row for each node only, the least node that the pairs
+that stay connect it with. What is connected is then verified in blocks of
+bounded bytes: again a task holds two blocks, takes all their pairs through
+pruning and verification, and returns a row for each node.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ from sonaria.llm.common import bound_batches, buckets, kept
 from sonaria.llm.components import components
 
 HASHES, ROWS, STEP = 128, 4, 16
-#: Buckets of up to so many nodes are listed as pairs.
-LISTED = 12
-#: Nodes whose signatures make a block of a large bucket.
+#: Groups of up to so many nodes are compared together, so many pairs at once.
+LISTED, PAIRS = 16, 1 << 18
+#: Nodes whose signatures make a block of a large group.
 SIGNED = 1 << 14
 #: Bytes of texts that make a block of a large cluster, and the texts that are compared at once.
 BLOCK, TILE = 1 << 21, 512
@@ -87,17 +87,6 @@ def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray, least: list[tuple[int, int]]) -> np.ndarray:
-    """Which pairs of signature rows stay."""
-    live = np.arange(len(a))
-    matches = np.zeros(len(a), np.int32)
-    at = 0
-    for k, m in least:
-        matches += (a[live, at:k] == b[live, at:k]).sum(1, dtype=np.int32)
-        live, matches, at = live[matches >= m], matches[matches >= m], k
-    return live
-
-
 def _sign(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, the hash of its text, the text's bytes, the 128-bit name of its shingle set (null if empty), its
     signature, and that in bytes."""
@@ -134,21 +123,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "bucket long, node long")
 
 
-def _prune(pairs: DataFrame, least: list[tuple[int, int]]) -> DataFrame:
-    """pairs (u, v, a, b) with signatures a and b; those that stay as (u, v)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in (2, 3))
-                live = pa.array(survivors(a, b, least))
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(live) for c in (0, 1)], ["u", "v"])
-
-    return pairs.mapInArrow(run, "u long, v long")
-
-
 def _stays(sig: np.ndarray, u: np.ndarray, v: np.ndarray, least: list[tuple[int, int]]) -> np.ndarray:
-    """Which pairs (u, v) of rows of sig stay, as survivors() tells it, without a copy of the rows."""
+    """Which pairs (u, v) of signature rows stay."""
     live, matches, at = np.arange(len(u)), np.zeros(len(u), np.int32), 0
     for k, m in least:
         part = np.ascontiguousarray(sig[:, at:k])
@@ -190,16 +166,28 @@ def _tied(sig: np.ndarray, left: np.ndarray | None, least: list[tuple[int, int]]
 
 
 def _tie(table: pa.Table, least: list[tuple[int, int]]) -> pa.Table:
-    """Within each large bucket, or between two of its blocks: for each node the least one that it is connected with."""
-    table, cut = _groups(table, ["r", "i", "j"])
-    node, side = table["u"].to_numpy(), (table["block"].to_numpy() == table["i"].to_numpy())
+    """Within each group, or between two of its blocks: for each node the least one that it is connected with."""
+    table, cut = _groups(table, ["r", "i", "j", "u"])
+    table = table.take(pa.array(cut[:-1]))  # repeated rows
+    node, side = table["u"].to_numpy(), table["block"].to_numpy() == table["i"].to_numpy()
     cross = table["i"].to_numpy() != table["j"].to_numpy()
-    sig, root = _rows_of(table["low"]), node.copy()
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        order = a + np.argsort(node[a:b])
-        root[order] = node[order][_tied(sig[order], side[order] if cross[a] else None, least)]
-    far = root != node
-    return pa.table({"u": node[far], "v": root[far]})
+    new = np.any([x[1:] != x[:-1] for x in (table[k].to_numpy() for k in ("r", "i", "j"))], axis=0)
+    cut = np.flatnonzero(np.concatenate([[True], new, [True]]))
+    first, size = cut[:-1], np.diff(cut)
+    sig, root = _rows_of(table["low"]), np.arange(len(node))
+    alone = (size <= LISTED) & ~cross[first]
+    for n in np.unique(size[alone]):
+        a, b = np.triu_indices(n, 1)
+        at = first[alone & (size == n)]
+        for k in range(0, len(at), max(1, PAIRS // max(1, len(a)))):
+            some = at[k : k + max(1, PAIRS // max(1, len(a)))]
+            u, v = (some[:, None] + a).ravel(), (some[:, None] + b).ravel()
+            live = _stays(sig, u, v, least)
+            root = _roots(root, u[live], v[live])
+    for a, b in zip(first[~alone], first[~alone] + size[~alone], strict=True):
+        root[a:b] = a + _tied(sig[a:b], side[a:b] if cross[a] else None, least)
+    far = root != np.arange(len(node))
+    return pa.table({"u": node[far], "v": node[root[far]]})
 
 
 def _verify(table: pa.Table, n: int, threshold: float, least: list[tuple[int, int]]) -> pa.Table:
@@ -299,20 +287,11 @@ def _blocked(rows: DataFrame, cluster: str, node: str, others: int) -> DataFrame
 
 def _ties(bands: DataFrame, nodes: DataFrame, groups: int, least: list[tuple[int, int]]) -> DataFrame:
     """Edges (u, v) that connect all nodes that share a bucket and stay, and no others."""
-    full = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("r")).filter("n > 1")
-    members = kept(bands.join(full, "bucket"), "buckets")
-    listed = members.filter(F.col("n") <= LISTED).groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("m")).select("m").distinct()
-    pairs = listed.select(F.explode(F.expr("flatten(transform(sequence(0, size(m) - 2), i -> transform(slice(m, i + 2, size(m)), v -> struct(m[i] as u, v as v))))")).alias("p")).select("p.u", "p.v").distinct()
-    ends = [nodes.select(F.col("node").alias(x), F.col("low").alias(y)) for x, y in (("u", "a"), ("v", "b"))]
-    pairs = _prune(pairs.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b"), least)
-    # large buckets with one least node mostly hold the same nodes, so they are one
-    large = members.filter(F.col("n") > LISTED).select("r", F.col("node").alias("u")).distinct()
-    if large.isEmpty():
-        return pairs
-    large = kept(large, "large")
-    size = large.groupBy("r").agg(F.ceil(F.count("*") / F.lit(SIGNED)).cast("int").alias("blocks"))
-    rows = _blocked(large.join(size, "r").join(nodes.select(F.col("node").alias("u"), "low"), "u"), "r", "u", groups)
-    return pairs.unionByName(rows.groupBy("g").applyInArrow(lambda t: _tie(t, least), "u long, v long"))
+    full = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("r")).filter("n > 1").select("bucket", "r")
+    members = kept(bands.join(full, "bucket").select("r", F.col("node").alias("u")).distinct(), "members")
+    size = members.groupBy("r").agg(F.ceil(F.count("*") / F.lit(SIGNED)).cast("int").alias("blocks"))
+    rows = members.join(size, "r").join(nodes.select(F.col("node").alias("u"), "low"), "u")
+    return _blocked(rows, "r", "u", groups).groupBy("g").applyInArrow(lambda t: _tie(t, least), "u long, v long")
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sonaria.llm.arrays import ALNUM, LOWER, U64, chunks, flat, mix, word_table, word_values, words
-from sonaria.llm.common import bound_batches, kept
+from sonaria.llm.common import bound_batches, kept, trim
 
 BITS = 18
 ENDS = word_table(b".!?\n")
@@ -177,7 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 2000) ->
     """Fit on at most per_class documents of each label that the condition `usable` (on labels.doc_id) lets pass.
     The driver holds about HELD bytes of their features at a time."""
     bound_batches(docs.sparkSession)
-    return fit(*_bags(_sampled(docs, labels, "toxic", usable, per_class)))
+    model = fit(*_bags(_sampled(docs, labels, "toxic", usable, per_class)))
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, locate: float = 0.5) -> DataFrame:

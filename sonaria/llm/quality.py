@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sonaria.llm.arrays import BYTE_VALUES, SPACED, U64, Rolling, chunks, flat, mix, word_values, words
-from sonaria.llm.common import bound_batches
+from sonaria.llm.common import bound_batches, trim
 from sonaria.llm.mil import _sampled
 
 #: Hashed terms of each kind: words, shapes, pairs of shapes, and repeats.
@@ -132,7 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, usable, per_class: int = 1500) ->
     x = np.zeros((len(rows), TERMS), np.float32)
     for r, a, f in zip(x, rows["at"].to_pylist(), rows["f"].to_pylist(), strict=True):
         r[np.frombuffer(a, np.int32)] = np.frombuffer(f, np.float32)
-    return Space(x, np.array(rows["y"].to_pylist()))
+    space = Space(x, np.array(rows["y"].to_pylist()))
+    del x, rows
+    trim()
+    return space
 
 
 def score(docs: DataFrame, space: Space | None, neighbours: int = 15, power: float = 8.0) -> DataFrame:

@@ -108,15 +108,14 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
 def _smaller(sa: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place in order, the nearest earlier place with a smaller position (-1: none), and the least common
     prefix on the way there, by jumping over places already known to be larger."""
-    n = len(sa)
-    at, m = np.arange(n) - 1, least.copy()
-    while True:
-        far = np.flatnonzero((at >= 0) & (sa[np.maximum(at, 0)] > sa))
-        if not len(far):
-            return at, np.where(at >= 0, m, 0)
+    at, m = np.arange(len(sa)) - 1, least.copy()
+    far = 1 + np.flatnonzero(sa[:-1] > sa[1:])
+    while len(far):
         step = at[far]
         m[far] = np.minimum(m[far], m[step])
-        at[far] = at[step]
+        at[far] = step = at[step]
+        far = far[(step >= 0) & (sa[step] > sa[far])]
+    return at, np.where(at >= 0, m, 0)
 
 
 def _longest(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:

@@ -67,7 +67,7 @@ def fixture(group):
     return rows
 
 
-@pytest.mark.parametrize("group,listed,signed,block,tile", [(20, 12, 1 << 14, 1 << 22, 512), (120, 12, 32, 9000, 16), (60, 2, 16, 3000, 7)])
+@pytest.mark.parametrize("group,listed,signed,block,tile", [(20, 16, 1 << 14, 1 << 22, 512), (120, 16, 32, 9000, 16), (60, 1, 16, 3000, 7), (60, 100, 200, 3000, 7)])
 def test_against_brute_force(spark, group, listed, signed, block, tile, monkeypatch):
     for name, value in (("LISTED", listed), ("SIGNED", signed), ("BLOCK", block), ("TILE", tile)):
         monkeypatch.setattr(jaccard_join, name, value)
