@@ -25,7 +25,7 @@ from sonaria.llm.common import bound_batches, kept, partitions
 from sonaria.llm.tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy long"
-#: Fillings that the search around one piece may look at before it takes the incumbent.
+#: Fillings that the search around one piece may look at before sums of the lengths decide.
 NODES = 400
 
 
@@ -56,7 +56,8 @@ def complete(count: np.ndarray, room: int, top: int) -> list[tuple[int, int]]:
     """The fullest filling of `room` from the lengths that are left (count[length], none above top).
 
     Branches take the longest length that fits, as often as possible first, then fewer times; a filling that
-    could take one more piece is dominated and never kept. Returns (length, times), longest first.
+    could take one more piece is dominated and never kept. A search of more than NODES fillings ends, and the sums
+    that the lengths can reach tell the fullest filling. Returns (length, times), longest first.
     """
     lengths = np.flatnonzero(count[: min(room, top) + 1])
     if not len(lengths):
@@ -80,14 +81,31 @@ def complete(count: np.ndarray, room: int, top: int) -> list[tuple[int, int]]:
             for times in range(min(free // size, int(count[size])), 0, -1):
                 if go(free - times * size, k, [*chosen, (size, times)]):
                     return True
-            if free >= size and free - size < smallest:
-                break  # any later filling of one piece is shorter: dominated
         if k == 0 and free < best[0]:
             best[0], best[1] = free, list(chosen)
         return False
 
     go(room, len(lengths), [])
-    return best[1]
+    return best[1] if best[0] == 0 or nodes[0] <= NODES else fullest(count, room, top)
+
+
+def fullest(count: np.ndarray, room: int, top: int) -> list[tuple[int, int]]:
+    """The fullest filling by the sums up to `room` that the lengths can reach: bits of one number, a step for each
+    length and each of the halved times that it is there."""
+    reach, steps = 1, []
+    for size in np.flatnonzero(count[: min(room, top) + 1]).tolist()[::-1]:
+        left, times = min(int(count[size]), room // size), 1
+        while left:
+            times = min(times, left)
+            steps.append((reach, size, times))
+            reach |= (reach << (size * times)) & ((2 << room) - 1)
+            left, times = left - times, times * 2
+    at, use = reach.bit_length() - 1, {}
+    for before, size, times in reversed(steps):
+        if not before >> at & 1:
+            at -= size * times
+            use[size] = use.get(size, 0) + times
+    return sorted(use.items(), reverse=True)
 
 
 def plan(count: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -135,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
     docs: doc_id, text; other columns are ignored. A document's tokens are its text's ids, then end_id; a null
     or empty text has end_id alone. Only documents of more than `capacity` tokens are cut. Returns a row for each
     piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Equal rows are packed as often as they
-    occur; a null doc_id stays null; an empty table gives an empty result.
+    occur; texts of any length are read whole; a null doc_id stays null; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bound_batches(spark)

@@ -112,3 +112,22 @@ def test_optimum_on_small_cases():
         assert want <= n <= want + 1
         worse += n > want
     assert worse <= 6
+
+
+def test_the_fullest_filling(monkeypatch):
+    r = random.Random(4)
+    for _ in range(300):
+        room = r.randrange(1, 60)
+        count = np.zeros(61, np.int64)
+        for s in r.choices(range(2, 40), k=r.randrange(8)):
+            count[s] += r.randrange(1, 4)
+        pieces = [s for s in range(61) for _ in range(count[s])]
+        sums = {0}
+        for s in pieces:
+            sums |= {x + s for x in sums if x + s <= room}
+        got = packing.fullest(count, room, 60)
+        assert sum(s * n for s, n in got) == max(sums) and all(1 <= n <= count[s] for s, n in got)
+        monkeypatch.setattr(packing, "NODES", 2)
+        cut = packing.complete(count, room, 60)
+        monkeypatch.undo()
+        assert sum(s * n for s, n in cut) == sum(s * n for s, n in packing.complete(count, room, 60)) == max(sums)
