@@ -6,11 +6,13 @@ windows are looked up from their rarest terms: the positions of a rare term
 are intersected with the offset-adjusted positions of the words beside it, one
 word further at each step, until a list is empty or a window is complete. No
 posting leaves its shard; what the shards are told is the test set, in blocks
-of bounded size.
+of bounded size, one after another. A shard looks up the rarest terms of all
+windows of a block at once and goes on with those that it holds.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +100,9 @@ def _frequency(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["k", "n"])
 
     rows = index.select("terms", "cuts").mapInArrow(counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    return {int(r.k): int(r.n) for r in rows.collect()}  # at most a row for each test term of the block
+    out = {int(r.k): int(r.n) for r in rows.collect()}  # at most a row for each test term of the block
+    told.destroy()
+    return out
 
 
 def _plan(items: list[tuple[int | None, np.ndarray]], frequency: dict[int, int], terms: np.ndarray, k: int) -> list[tuple]:
@@ -158,25 +162,49 @@ def _near(shard: Shard, numbers: np.ndarray, q: int, w: int, slop: int) -> np.nd
     return np.unique(doc[good])
 
 
-def _search(index: DataFrame, plan: list[tuple], slop: int) -> DataFrame:
-    told = index.sparkSession.sparkContext.broadcast(plan)
+class Block:
+    """What the shards are told of a block of test items: the items, and by rarest term where it stands in them."""
+
+    def __init__(self, plan: list[tuple]) -> None:
+        self.items = [(item, term, w) for item, term, w, _ in plan]
+        at = [(int(term[q]), k, q) for k, (_, term, _, places) in enumerate(plan) for q in places]
+        at.sort()
+        self.rarest, first = np.unique(np.array([t for t, _, _ in at], U64), return_index=True)
+        self.cuts = np.append(first, len(at))
+        self.places = np.array([x[1:] for x in at], np.int64).reshape(-1, 2)
+
+    def held(self, shard: Shard) -> Iterator[tuple[int, list[int]]]:
+        """(item's number, places of its rarest terms) for the items with a rarest term in the shard."""
+        some = np.flatnonzero(shard.numbers(self.rarest) >= 0)
+        if len(some):
+            places = np.concatenate([self.places[self.cuts[k] : self.cuts[k + 1]] for k in some])
+            places = places[np.lexsort((places[:, 1], places[:, 0]))]
+            cut = np.flatnonzero(np.concatenate([[True], places[1:, 0] != places[:-1, 0], [True]]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                yield int(places[a, 0]), places[a:b, 1].tolist()
+
+
+def _search(index: DataFrame, told, slop: int) -> DataFrame:
+    """The hits of a broadcast Block in every shard."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = told.value
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1).to_pylist()[0]
                 shard = Shard(row)
                 hits: list[list] = [[] for _ in shard.ids]
                 near: list[set] = [set() for _ in shard.ids]
-                for item, term, w, places in told.value:
+                for n, places in block.held(shard):
+                    item, term, w = block.items[n]
                     numbers = shard.numbers(term)
                     found = [_exact(shard, numbers, q, w) for q in places]
                     start, end = (np.concatenate([f[x] for f in found]) for x in (0, 1))
                     doc = np.searchsorted(shard.of, start, "right") - 1
                     for d in np.unique(doc):
                         mine = doc == d
-                        base, n = shard.of[d], shard.of[d + 1] - shard.of[d]
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], cover(start[mine] - base, end[mine] - base, n).astype(np.int8), [0]])))
+                        base, size = shard.of[d], shard.of[d + 1] - shard.of[d]
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], cover(start[mine] - base, end[mine] - base, size).astype(np.int8), [0]])))
                         hits[d] += [{"item_id": item, "start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
                     if slop:
                         for q in places:
@@ -198,6 +226,14 @@ def _search(index: DataFrame, plan: list[tuple], slop: int) -> DataFrame:
     return index.mapInArrow(look, OUT)
 
 
+def _found(index: DataFrame, plan: list[tuple], slop: int) -> DataFrame:
+    """The hits of a block, written; the block then leaves the driver and the executors."""
+    told = index.sparkSession.sparkContext.broadcast(Block(plan))
+    done = kept(_search(index, told, slop), "hits")
+    told.destroy()
+    return done
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """The test items' terms, in blocks of a bounded number of words."""
     block, n = [], 0
@@ -221,20 +257,17 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = 10, slop: int = 0) -> D
     (its place in the index), doc_id, n_words, hits (item_id and the word spans its windows cover, end exclusive),
     near (item_ids with a window whose words all stand at most `slop` places from where they should; empty
     without slop). Null texts have no words; null ids stay null; equal rows and equal items each count; an empty
-    table gives no rows or no hits.
+    table gives no rows or no hits; texts of any length are read whole. The result is written.
     """
     bound_batches(docs.sparkSession)
     index = kept(build_index(docs), "postings")
-    done = None
+    found = []
     for items in _blocks(benchmark):
         terms = np.unique(np.concatenate([t for _, t in items]))
-        found = _search(index, _plan(items, _frequency(index, terms), terms, k), slop)
-        done = found if done is None else done.unionByName(found)
-        blocks = 1 if done is found else 2
-    if done is None:
-        return _search(index, [], 0)
-    if blocks == 1:
-        return done
+        found.append(_found(index, _plan(items, _frequency(index, terms), terms, k), slop))
+    if len(found) <= 1:
+        return found[0] if found else _found(index, [], 0)
+    done = functools.reduce(DataFrame.unionByName, found)
     merged = done.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("near")).alias("near"))
     return merged.select("shard", "row", "doc_id", "n_words", "hits", "near")
 
