@@ -189,6 +189,16 @@ LABELLED = np.array(
         (60, 0.0, 50, 0.0, 3, 1.0, 0, 0, 0, 1), (38, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 1), (90, 0.1, 70, 0.0, 2, 1.0, 0, 0, 0, 1),
         (1, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 4, 1.0, 0, 0, 1, 0),
         (1, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0), (3, 0.0, 2, 1.0, 60, 0.0, 1, 0, 0, 0), (40, 0.0, 2, 1.0, 3, 1.0, 1, 1, 0, 0),
+        # lines of pages without any enclosing element: what stands beside them tells mottos and notes from short paragraphs
+        (6, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0), (12, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (9, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0),
+        (14, 0.0, 6, 1.0, 4, 1.0, 0, 0, 0, 0), (8, 0.0, 8, 0.9, 0, 0.0, 0, 0, 0, 0), (10, 0.0, 3, 1.0, 6, 1.0, 0, 0, 0, 0),
+        (9, 0.0, 4, 1.0, 6, 0.0, 0, 0, 0, 0), (7, 0.0, 6, 1.0, 5, 0.0, 0, 0, 0, 0), (12, 0.0, 3, 1.0, 8, 0.0, 0, 0, 0, 0),
+        (7, 0.0, 5, 0.0, 4, 1.0, 0, 0, 0, 0), (6, 0.0, 9, 0.0, 3, 1.0, 0, 0, 0, 0), (11, 0.0, 7, 0.0, 2, 1.0, 0, 0, 0, 0),
+        (6, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1), (9, 0.0, 60, 0.0, 35, 0.0, 0, 0, 0, 1), (12, 0.0, 25, 0.0, 70, 0.0, 0, 0, 0, 1),
+        (8, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1), (10, 0.0, 4, 1.0, 50, 0.0, 0, 0, 0, 1), (12, 0.0, 45, 0.0, 5, 1.0, 0, 0, 0, 1),
+        (3, 1.0, 6, 0.0, 20, 0.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 25, 0.0, 0, 0, 0, 0), (5, 0.9, 40, 0.0, 50, 0.0, 0, 0, 0, 0),
+        (2, 0.0, 2, 1.0, 18, 0.0, 0, 0, 1, 1), (4, 0.0, 1, 1.0, 13, 0.0, 0, 0, 1, 1), (3, 0.0, 2, 0.5, 22, 0.0, 0, 0, 1, 1),
+        (6, 0.0, 3, 1.0, 28, 0.0, 0, 0, 1, 1), (5, 0.0, 33, 0.0, 3, 1.0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 8, 0.0, 0, 0, 0, 1),
     ]
 )
 
@@ -196,7 +206,7 @@ LABELLED = np.array(
 class Tree:
     """A binary decision tree grown by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 1) -> None:
         self.nodes: list[tuple] = []
         self._grow(x, y, depth, least)
 

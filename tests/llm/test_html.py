@@ -15,6 +15,14 @@ def test_tree_fits_its_table(tree):
     assert ((tree.predict(x) >= 0.5) == y).all()
 
 
+def test_neighbours_carry_weight(tree):
+    """The tree looks at the words and the links of the blocks before and after, and they alone can decide."""
+    used = {H.FEATURES[n[0]] for n in tree.nodes if n[0] >= 0}
+    assert {"words_before", "words_after"} <= used and {"links_before", "links_after"} & used
+    beside = [(7, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0), (7, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0)]
+    assert (tree.predict(H.np.array(beside)) >= 0.5).tolist() == [False, True]
+
+
 CASES = {
     "article": (
         f"<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>a</a></li><li><a href=/b>b</a></li></ul></nav>"
@@ -24,6 +32,12 @@ CASES = {
     "comments": (f"<main><p>{PARA}</p><section id=comments><p>I am a reader and I say this.</p></section><aside>{PARA}</aside><form>Name <input></form></main>", PARA.strip()),
     "bare": (f"<p>{PARA}</p><p>So.</p><p>{PARA}</p>", f"{PARA.strip()} So. {PARA.strip()}"),
     "menu without element": (f"<div><a href=1>One</a></div><div><a href=2>Two</a></div><div>{PARA}</div>", PARA.strip()),
+    "no enclosing element": (
+        f"<div><a href=1>Home</a></div><div><a href=2>News</a></div><div>Welcome to the site of tests</div><div><a href=3>About us</a></div><h1>What happened</h1><p>{PARA}</p><p>A short one here.</p>"
+        f"<p>{PARA}{PARA}</p><div><a href=4>Imprint</a> <a href=5>Privacy</a></div><div>All rights reserved by the makers</div>",
+        f"What happened {PARA}A short one here. {PARA}{PARA.strip()}",
+    ),
+    "blocks of bold text": (f"<center><a href=1>a b c</a></center><center>Best site of all the web</center><center><a href=2>d e f</a></center><center>{PARA}</center><center>So it goes.</center><center>{PARA}</center>", f"{PARA}So it goes. {PARA.strip()}"),
     "list of links in front and behind": (f"<article><ul><li><a>x</a></li></ul><p>{PARA}</p><ul><li><a>y</a></li></ul></article>", f"x {PARA.strip()} y"),
     "broken": (f"<article><p>{PARA}<b>un<i>closed</p></div></nav> and <p", f"{PARA}unclosed and"),
     "inline": ("<article><p>a<b>b</b><span>c</span> d\n\t e</p></article>", "abc d e"),
