@@ -111,7 +111,9 @@ def blocks(page: str) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     for closed in stack[k:]:
-                        link -= closed[0] == "a"
+                        if closed[0] == "a":
+                            link -= 1
+                            linked.append(" ")  # the next link's words are its own
                         heading -= len(closed[0]) == 2 and closed[0][0] == "h" and closed[0][1] in "123456"
                     del stack[k:]
                     _, frame, main, hidden = stack[-1] if stack else ("", False, False, False)
@@ -197,6 +199,8 @@ LABELLED = np.array(
         (6, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1), (9, 0.0, 60, 0.0, 35, 0.0, 0, 0, 0, 1), (12, 0.0, 25, 0.0, 70, 0.0, 0, 0, 0, 1),
         (8, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1), (10, 0.0, 4, 1.0, 50, 0.0, 0, 0, 0, 1), (12, 0.0, 45, 0.0, 5, 1.0, 0, 0, 0, 1),
         (3, 1.0, 6, 0.0, 20, 0.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 25, 0.0, 0, 0, 0, 0), (5, 0.9, 40, 0.0, 50, 0.0, 0, 0, 0, 0),
+        (40, 0.0, 4, 0.0, 2, 0.5, 0, 0, 0, 1), (20, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0, 1),
+        (30, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 1), (18, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 1), (45, 0.1, 0, 0.0, 3, 1.0, 0, 0, 0, 1),
         (2, 0.0, 2, 1.0, 18, 0.0, 0, 0, 1, 1), (4, 0.0, 1, 1.0, 13, 0.0, 0, 0, 1, 1), (3, 0.0, 2, 0.5, 22, 0.0, 0, 0, 1, 1),
         (6, 0.0, 3, 1.0, 28, 0.0, 0, 0, 1, 1), (5, 0.0, 33, 0.0, 3, 1.0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 8, 0.0, 0, 0, 0, 1),
     ]
