@@ -166,15 +166,22 @@ def _ssn(key: str, m: str) -> str:
 
 
 def _phone(key: str, m: str) -> str:
-    """The country code stays. North American numbers keep a valid area and exchange (200-999), or aren't valid."""
+    """The country code stays. North American numbers are permuted among those whose area and exchange are valid
+    (200-999), those whose area is, and the others."""
     us = f"({m} rlike '^[+]1[^0-9]' or not {m} like '+%')"
-    valid = "length(d) in (10, 11) and substr(n, 1, 1) > '1' and substr(n, 4, 1) > '1'"
-    r = _feistel(key, "nanp", "cast(substr(n, 1, 3) as int) - 200", "800", "(cast(substr(n, 4, 3) as int) - 200) * 10000 + cast(substr(n, 7) as int)", "8000000")
-    nanp = _let(r, "f", f"concat(substr(d, 1, length(d) - 10), {_pad('f.a + 200', '3')}, {_pad('f.b div 10000 + 200', '3')}, {_pad('f.b % 10000', '4')})")
+    area, rest = "cast(substr(n, 1, 3) as int) - 200", "cast(substr(n, 4, 3) as int) * 10000 + cast(substr(n, 7) as int)"
+
+    def of_area(kind: str, least: int, exchanges: int) -> str:
+        r = _feistel(key, kind, area, "800", f"{rest} - {least * 10000}", str(exchanges * 10000))
+        return _let(r, "f", f"concat({_pad('f.a + 200', '3')}, {_pad(f'f.b div 10000 + {least}', '3')}, {_pad('f.b % 10000', '4')})")
+
+    r = _feistel(key, "nanp0", "cast(n as bigint) div 100000", "20000", "cast(n as bigint) % 100000", "100000")
+    without = _let(r, "f", f"concat({_pad('f.a', '5')}, {_pad('f.b', '5')})")
+    nanp = f"concat(substr(d, 1, length(d) - 10), case when substr(n, 1, 1) < '2' then {without} when substr(n, 4, 1) < '2' then {of_area('nanp1', 0, 200)} else {of_area('nanp', 200, 800)} end)"
     code = f"length({_digits(f"regexp_extract({m}, '^[+][0-9]{{1,3}}', 0)")})"
     other = _digits_feistel(key, "phone", "substr(d, c + 1)")
     generic = _let(f"if({m} rlike '^[+][0-9]{{1,3}}[ (-]', {code}, 0)", "c", f"concat(substr(d, 1, c), {other})")
-    new = _let("right(d, 10)", "n", f"if(not {us}, {generic}, if({valid}, {nanp}, d))")
+    new = _let("right(d, 10)", "n", f"if({us} and length(d) >= 10, {nanp}, {generic})")
     return _let(_digits(m), "d", f"if(length(d) >= 8, {_rewritten(m, new)}, {m})")
 
 
