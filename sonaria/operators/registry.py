@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,46 +75,84 @@ def dominant_type(clips: DataFrame, key: str, kind: str, order: str) -> DataFram
 
 
 class Registry:
-    """The two tables below one folder. A write goes to a new version of a table; readers see the last whole one."""
+    """The two tables below one folder. A write adds a version with its own rows only: readers see the rows of all whole
+    versions, of an individual the last. Each `COMPACT` versions one holds all rows so far, and readers begin there.
+    Writers take turns by a lock that is made in one step; a writer that died leaves it, to be deleted by hand."""
 
     TABLES = {"individuals": schemas.INDIVIDUALS, "clips": schemas.CLIPS}
+    COMPACT, WAIT = 32, 60.0
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _path(self, *names: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+
     def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    @contextlib.contextmanager
+    def _alone(self):
+        fs, lock = self._fs(), self._path("lock")
+        fs.mkdirs(self._path())
+        until = time.monotonic() + self.WAIT
+        while not self._made(fs, lock):
+            if time.monotonic() > until:
+                raise TimeoutError(f"another writer holds {lock}")
+            time.sleep(0.05)
+        try:
+            yield
+        finally:
+            fs.delete(lock, False)
+
+    @staticmethod
+    def _made(fs, lock) -> bool:
+        """Whether this process has made the file; of several one has."""
+        try:
+            return bool(fs.createNewFile(lock))
+        except Py4JJavaError:  # some file systems raise where the file is there
+            return False
 
-    def _versions(self, table: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        fs = self._fs()
+    def _versions(self, table: str) -> list[tuple[int, str]]:
+        """(number, folder) of the whole versions that readers need, in order."""
+        fs, folder = self._fs(), self._path(table)
         if not fs.exists(folder):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{n}/_SUCCESS")))
+        names = [x.getPath().getName() for x in fs.listStatus(folder)]
+        whole = sorted((int(n[1:]), n) for n in names if n[:1] in "va" and fs.exists(self._path(table, n, "_SUCCESS")))
+        base = max((k for k, (_, n) in enumerate(whole) if n[0] == "a"), default=0)
+        return whole[base:]
 
     def read(self, table: str) -> DataFrame:
         v = self._versions(table)
         if not v:
             return self.spark.createDataFrame([], self.TABLES[table])
-        return self.spark.read.schema(self.TABLES[table]).parquet(f"{self.path}/{table}/v{v[-1]}")
+        rows = self.spark.read.schema(self.TABLES[table] + ", version int").parquet(*(f"{self.path}/{table}/{n}" for _, n in v))
+        if table == "individuals":
+            rows = rows.groupBy("elephant_id").agg(F.max_by("nickname", "version").alias("nickname"))
+        return rows.select(*self._names(table))
+
+    def _names(self, table: str) -> list[str]:
+        return [f.split()[0] for f in self.TABLES[table].split(", ")]
 
     def write(self, table: str, df: DataFrame) -> None:
+        """Add rows; of an individual that is there the new row counts."""
         v = self._versions(table)
-        names = [f.split()[0] for f in self.TABLES[table].split(", ")]
-        df.select(*names).write.mode("overwrite").parquet(f"{self.path}/{table}/v{(v[-1] if v else 0) + 1}")
+        n = (v[-1][0] if v else 0) + 1
+        rows = df.select(*self._names(table), F.lit(n).alias("version"))
+        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/v{n}")
+        if len(v) + 1 >= self.COMPACT:
+            self.read(table).withColumn("version", F.lit(n + 1)).write.mode("overwrite").parquet(f"{self.path}/{table}/a{n + 1}")
 
     def register(self, clips: DataFrame) -> DataFrame:
         """Add clips (parent_wav, elephant_id, file_path, start_time, end_time, clip_type) and the individuals that
         are new; returns the added rows with their ids."""
-        old = self.read("clips")
-        last = old.agg(F.coalesce(F.max("clip_id"), F.lit(0)).alias("m")).first().m
-        new = numbered(clips, int(last), "elephant_id", "start_time", "end_time").withColumns({"human_label": F.lit(""), "created_at": F.current_timestamp()})
-        known = self.read("individuals")
-        self.write("individuals", known.unionByName(missing_individuals(known, clips)))
-        self.write("clips", old.unionByName(new.select(*old.columns)))
+        with self._alone():
+            old = self.read("clips")
+            last = old.agg(F.coalesce(F.max("clip_id"), F.lit(0)).alias("m")).first().m
+            new = numbered(clips, int(last), "elephant_id", "start_time", "end_time").withColumns({"human_label": F.lit(""), "created_at": F.current_timestamp()})
+            self.write("individuals", missing_individuals(self.read("individuals"), clips))
+            self.write("clips", new)
         return self.read("clips").filter(F.col("clip_id") > last)
 
     def dump(self) -> tuple[DataFrame, DataFrame]:
@@ -119,10 +160,10 @@ class Registry:
 
     def rename(self, elephant_id: str, nickname: str) -> bool:
         """Whether there is such an individual."""
-        known = self.read("individuals")
-        if known.filter(F.col("elephant_id") == elephant_id).isEmpty():
-            return False
-        self.write("individuals", renamed(known, self.spark.createDataFrame([(elephant_id, nickname)], "elephant_id string, nickname string")))
+        with self._alone():
+            if self.read("individuals").filter(F.col("elephant_id") == elephant_id).isEmpty():
+                return False
+            self.write("individuals", self.spark.createDataFrame([(elephant_id, nickname)], "elephant_id string, nickname string"))
         return True
 
     def for_parent(self, parent: str) -> DataFrame:
