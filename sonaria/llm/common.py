@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
-import gc
-import sys
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,14 +75,6 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def trim() -> None:
-    """Give memory that a fit has left free back to the system, as the driver goes on for long."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A new version of a small file; readers see the last whole one."""
     p = spark._jvm.org.apache.hadoop.fs.Path

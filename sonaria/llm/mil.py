@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sonaria.llm.arrays import ALNUM, LOWER, U64, chunks, flat, mix, word_table, word_values, words
-from sonaria.llm.common import bound_batches, kept, trim
+from sonaria.llm.common import bound_batches, kept
+from sonaria.llm.memory import trim
 
 BITS = 18
 ENDS = word_table(b".!?\n")

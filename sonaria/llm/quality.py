@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sonaria.llm.arrays import BYTE_VALUES, SPACED, U64, Rolling, chunks, flat, mix, word_values, words
-from sonaria.llm.common import bound_batches, trim
+from sonaria.llm.common import bound_batches
+from sonaria.llm.memory import trim
 from sonaria.llm.mil import _sampled
 
 #: Hashed terms of each kind: words, shapes, pairs of shapes, and repeats.

@@ -35,7 +35,7 @@ SENT = "t int, src int, kind int, fp binary, size binary, h1 binary, h2 binary,
 SIDE = "src int, t int, kind int, keys binary, weights binary, a binary, b binary"
 FLAGGED, CONTEXTS, WINDOWS = 0, 1, 2
 #: Bytes of contexts whose suffixes are sorted at once.
-SORTED = 1 << 19
+SORTED = 1 << 18
 #: Bytes of texts that are hashed at once, longer texts apart.
 HASHED = 1 << 18
 
@@ -43,8 +43,8 @@ HASHED = 1 << 18
 def _dense(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
     k = key[order]
-    rank = np.empty(len(key), U64)
-    rank[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]])).astype(U64)
+    rank = np.empty(len(key), np.uint32)
+    rank[order] = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]), dtype=np.uint32)
     return rank
 
 
@@ -52,8 +52,9 @@ def _pair(rank: np.ndarray, by: int) -> np.ndarray:
     """Order by two prefixes, the second `by` bytes further on; past the end nothing is smallest."""
     nxt = np.zeros(len(rank), U64)
     if by < len(rank):
-        nxt[:-by] = rank[by:] + U64(1)
-    return (rank << U64(32)) | nxt
+        nxt[:-by] = rank[by:]
+        nxt[:-by] += U64(1)
+    return (rank.astype(U64) << U64(32)) | nxt
 
 
 def _first_rank(data: np.ndarray) -> np.ndarray:
@@ -349,7 +350,7 @@ def _remove(docs: pa.Table, side: pa.Table, length: int, gram: int, hot: int, ra
     return pa.concat_tables(out)
 
 
-def dedup(docs: DataFrame, length: int = 400, gram: int = 64, batches: int = 3, split: int = 1 << 20) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, gram: int = 64, batches: int = 3, split: int = 1 << 19) -> DataFrame:
     """Remove every byte that a repeated `length`-byte string covers.
 
     docs: doc_id, text; other columns are ignored. A string is repeated if it also starts anywhere else, in the
