@@ -59,6 +59,24 @@ def test_bytes(spark, length, split):
     assert sorted(got, key=repr) == sorted(brute_bytes(rows, length), key=repr)
 
 
+@pytest.mark.parametrize("length,split", [(400, 1 << 20), (100, 1 << 20), (100, 300)])
+def test_the_first_copy_stays(spark, length, split):
+    rows = [(i, t) for i, (_, t) in enumerate(texts())]
+    rows.append((0, rows[0][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, bytes(r.kept)) for r in suffix_dedup.dedup(df, length, 32, split=split, keep_first=True).collect()]
+    seen, want = set(), []
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if b[i : i + length] in seen:
+                gone[i : i + length] = True
+            seen.add(b[i : i + length])
+        want.append((d, bytes(np.frombuffer(b, np.uint8)[~gone])))
+    assert sorted(got) == sorted(want)
+
+
 def test_index_that_outlives_a_run(spark, tmp_path):
     """Later loads against a stored index equal their share of a run over everything up to them."""
     r = random.Random(8)
