@@ -30,12 +30,14 @@ HARMONICS = (
     "Moderate harmonic content (%d harmonics) suggests a typical mid-range recording distance.",
     "Limited harmonics (%d) suggest either a distant recording or a low-intensity vocalization.",
 )
+MODULATED, UNMODULATED, UNSURE, SILENT = "modulated (%.1f Hz range)", "stable", "insufficient data", "silent"
+SENTENCE = ("This ", " (", "s, F0=%.1f Hz) is consistent with ", ". ", " ", " Temporal envelope: ", ". Frequency modulation: ", ".")
 
 
 def onset_profile(onset: str, sustain: str, offset: str, loudest: str) -> Column:
     a, b, c = F.col(onset), F.col(sustain), F.col(offset)
     return (
-        F.when(F.col(loudest) <= 0, F.lit("silent"))
+        F.when(F.col(loudest) <= 0, F.lit(SILENT))
         .when(a > b * 1.3, F.lit(ONSETS[0]))
         .when(c > b * 1.3, F.lit(ONSETS[1]))
         .when(F.abs(a - c) < b * 0.2, F.lit(ONSETS[2]))
@@ -44,8 +46,8 @@ def onset_profile(onset: str, sustain: str, offset: str, loudest: str) -> Column
 
 
 def modulation(voiced: str, median: str, spread: str) -> Column:
-    text = F.concat(F.lit("modulated ("), F.format_string("%.1f", F.col(spread)), F.lit(" Hz range)"))
-    return F.when(F.col(voiced) <= 5, F.lit("insufficient data")).when(F.col(spread) > F.col(median) * 0.15, text).otherwise(F.lit("stable"))
+    text = F.format_string(MODULATED, F.col(spread))
+    return F.when(F.col(voiced) <= 5, F.lit(UNSURE)).when(F.col(spread) > F.col(median) * 0.15, text).otherwise(F.lit(UNMODULATED))
 
 
 def caller_class(f0: str) -> Column:
@@ -66,11 +68,10 @@ def harmonic_note(count: str) -> Column:
 
 def description(kind: str = "clip_type") -> Column:
     """A clip's features in words. An invalid clip says so."""
-    text = F.concat(
-        F.lit("This "), F.col(kind), F.lit(" ("), F.col("duration_s").cast("string"), F.lit("s, F0="), F.format_string("%.1f", F.col("fundamental_hz")), F.lit(" Hz) is consistent with "),
-        caller_class("fundamental_hz"), F.lit(". "), social_class("duration_s"), F.lit(" "), harmonic_note("harmonic_count"),
-        F.lit(" Temporal envelope: "), F.col("onset_profile"), F.lit(". Frequency modulation: "), F.col("frequency_modulation"), F.lit("."),
-    )
+    pitch = F.format_string(SENTENCE[2], F.col("fundamental_hz"))
+    parts = [F.col(kind), F.col("duration_s").cast("string"), caller_class("fundamental_hz"), social_class("duration_s"), harmonic_note("harmonic_count"), F.col("onset_profile"), F.col("frequency_modulation")]
+    between = [F.lit(SENTENCE[1]), pitch, *map(F.lit, SENTENCE[3:])]
+    text = F.concat(F.lit(SENTENCE[0]), *(x for pair in zip(parts, between, strict=True) for x in pair))
     return F.when(F.col("is_valid"), text).otherwise(F.lit("The clip is too short or too quiet to analyse."))
 
 

@@ -128,5 +128,36 @@ def test_uploads(spark, tmp_path):
     assert seen == ["a.wav"]
 
 
+def test_text_from_a_service():
+    import http.server
+    import json
+    import threading
+
+    import pandas as pd
+
+    from sonaria.sources import text
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = {"choices": [{"message": {"content": f" {asked['messages'][0]['content']}! "}}]} if asked["messages"][0]["content"] != "bad" else {"choices": []}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(said).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        ask = text.asker(f"http://127.0.0.1:{server.server_port}/", "m", "k", 5)
+        assert ask(pd.Series(["a", "bad"], index=[4, 7])).to_dict() == {4: "a!", 7: None}
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert text.asker("http://127.0.0.1:9/", "m", timeout=1)(pd.Series(["a"])).tolist() == [None]
+
+
 def test_session_settings():
     assert session_module.DEFAULTS["spark.sql.session.timeZone"] == "UTC"
