@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sonaria import schemas
 from sonaria.functions.ordered import running_before
 from sonaria.functions.scalars import basename
+from sonaria.sources import sheets
 
 # The column names that annotation sheets use, the preferred one first.
 ALIASES = {
@@ -43,10 +44,15 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """A sheet by its suffix: .tsv and .txt are tab-separated, .xlsx and .xls need a spreadsheet reader that pandas
-    knows, all else is comma-separated, or tab-separated if commas give no second column."""
+    """A sheet by its suffix: .tsv and .txt are tab-separated, .xlsx is a workbook's first sheet, .xls needs a reader
+    that pandas knows, all else is comma-separated, or tab-separated if commas give no second column."""
     lower = path.lower()
-    if lower.endswith((".xlsx", ".xls")):
+    if lower.endswith(".xlsx"):
+        head, *body = sheets.rows(bytes(spark.read.format("binaryFile").load(path).first().content)) or [[]]
+        names = [h for h in head if h]
+        cells = [[(r + [None] * len(head))[k] for k, h in enumerate(head) if h] for r in body if any(r)]
+        return normalise(spark.createDataFrame(cells, ", ".join(f"`{n}` string" for n in names)))
+    if lower.endswith(".xls"):
         import pandas as pd
 
         return normalise(spark.createDataFrame(pd.read_excel(path).astype(str)))

@@ -128,6 +128,21 @@ def test_uploads(spark, tmp_path):
     assert seen == ["a.wav"]
 
 
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    strings = ["Begin File", "Begin Time (s)", "End Time (s)", "a & b.wav"]
+    cell = [["<c r='A1' t='s'><v>0</v></c>", "<c r='C1' t='s'><v>1</v></c>", "<c r='D1' t='s'><v>2</v></c>"], ["<c r='A2' t='s'><v>3</v></c>", "<c r='C2'><v>1.5</v></c>", "<c r='D2'><v>2</v></c>"], ["<c r='A3' t='inlineStr'><is><t>c.wav</t></is></c>", "<c r='C3'><v>3</v></c>"]]
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook xmlns='{main}' xmlns:r='{rel}'><sheets><sheet name='x' sheetId='1' r:id='rId1'/></sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'><Relationship Id='rId1' Target='worksheets/sheet1.xml'/></Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst xmlns='{main}'>" + "".join(f"<si><t>{s.replace('&', '&amp;')}</t></si>" for s in strings) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet xmlns='{main}'><sheetData>" + "".join(f"<row>{''.join(r)}</row>" for r in cell) + "</sheetData></worksheet>")
+    got = an.read_annotations(spark, f"file://{tmp_path}/s.xlsx").collect()
+    assert [(x.file, x.start_s, x.end_s) for x in got] == [("a & b.wav", 1.5, 2.0)]
+
+
 def test_text_from_a_service():
     import http.server
     import json
