@@ -31,6 +31,8 @@ from sonaria.llm.common import bound_batches, kept
 
 #: Bits of a word of a code, and words of a substring.
 WORD, PER = 64, 2
+#: Principal components that a rotation turns at most.
+TURNED = 256
 SHARD, QUERIES, SAMPLE = 8192, 16384, 4096
 
 
@@ -40,18 +42,19 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """Learned codes: `tables` rotations of the principal components, a bit for each coordinate."""
+    """Learned codes: `tables` rotations of the principal components, of the first TURNED if there are more, a bit for
+    each coordinate."""
 
     def __init__(self, sample: np.ndarray, tables: int = 4, rounds: int = 25, seed: int = 5) -> None:
         x = sample.astype(float)
         self.mean = x.mean(0)
         x = x - self.mean
-        dims = max(WORD, -(-x.shape[1] // WORD) * WORD)
-        _, _, v = np.linalg.svd(x.T @ x)
+        dims = min(TURNED, -(-x.shape[1] // WORD) * WORD)
+        v = np.linalg.eigh(x.T @ x)[1].T[::-1][:dims]
         rng = np.random.default_rng(seed)
         maps = []
         for _ in range(tables):
-            basis = np.concatenate([v.T, np.zeros((x.shape[1], dims - x.shape[1]))], 1)
+            basis = np.concatenate([v.T, np.zeros((x.shape[1], dims - len(v)))], 1)
             turn, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
             z = x @ basis
             for _ in range(rounds):  # nearest signs, then the rotation that comes nearest to them

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonaria.llm import decontaminate, html_text, jaccard_join, mil, packing, pii, quality, substring_dedup, suffix_dedup
+from sonaria.llm import decontaminate, hashing_search, html_text, jaccard_join, mil, packing, pii, quality, substring_dedup, suffix_dedup
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +48,14 @@ def test_long_pages(spark, docs):
     pages = [("<article><p>" + big + "</article>", len(big)), ("<p>" * 50_000, 0), ("<" * 50_000, 50_000), (None, 0), ("<article>" + "<p>a</p>" * 20_000, 39_999)]
     df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "page_id long, html string")
     assert {r.page_id: r.n_chars for r in html_text.extract(df).collect()} == {i: n for i, (_, n) in enumerate(pages)}
+
+
+def test_long_vectors_and_clashing_names(spark):
+    """Vectors of a thousand components, fewer rows than asked for, and columns named like those of the result."""
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(1000)], "x", "y") for i in range(6)] + [(6, None, None, None), (7, [], None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, query_id string")
+    got = hashing_search.nearest(df, F.col("vec_id") < 2).collect()
+    assert sorted((x.query_id, x.rank) for x in got) == [(q, k) for q in (0, 1) for k in range(1, 6)]
+    x = np.array([v for _, v, _, _ in rows[:6]])
+    assert all(abs(g.score - np.linalg.norm(x[g.query_id] - x[g.vec_id])) < 1e-9 for g in got)
