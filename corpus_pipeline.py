@@ -17,6 +17,8 @@ from sonaria.llm.queries import _held_out
 
 #: A document of this toxicity or more is rejected.
 REJECTED = 0.3
+#: Keys of eight bytes that are sent to every task at most; more are joined by an exchange.
+SENT = 1 << 20
 #: The columns that stages read.
 READ = ("doc_id", "text", "n_chars")
 
@@ -58,7 +60,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     apart by the hash of their id and text, so another text of the same id, or of none, stays."""
     told = _keyed(docs)
     found = decontaminate.find(told.select(F.col("key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).filter(F.size("hits") > 0)
-    return _named(told.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti"), docs)
+    gone = kept(found.select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    small = gone.count() <= SENT
+    return _named(told.join(F.broadcast(gone) if small else gone, "key", "left_anti"), docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
