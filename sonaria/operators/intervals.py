@@ -43,13 +43,17 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float | None = None, h
     return l.join(r, ["file", "cell"]).filter(touch & (F.col("cell") == first)).select(*left.columns, *(f"r_{c}" for c in right.columns if c != "file"))
 
 
-def overlap_counts(source: DataFrame, target: DataFrame) -> DataFrame:
-    """source with n_overlaps, the number of target intervals that overlap each. Rows that are repeated are rows each."""
+def overlap_counts(source: DataFrame, target: DataFrame, cell: float | None = None) -> DataFrame:
+    """source with n_overlaps, the number of target intervals that overlap each. Rows that are repeated are rows each.
+    With `cell` (seconds) a file's rows are dealt by time cells, as in overlap_join."""
     t = target.select("file", "start_s", "end_s")
     times = "times_of_row"
     once = source.groupBy(*source.columns).agg(F.count("*").alias(times))
-    pairs = overlap_join(once, t, how="left")
+    pairs = overlap_join(once, t, cell, "left" if cell is None else "inner")
     counted = pairs.groupBy(*source.columns, times).agg(F.count("r_start_s").alias("n_overlaps"))
+    if cell is not None:  # rows without an overlap come back by a join of whole rows
+        none = once.alias("o").join(counted.alias("c"), [F.col(f"o.`{c}`").eqNullSafe(F.col(f"c.`{c}`")) for c in source.columns], "left_anti")
+        counted = counted.unionByName(none.withColumn("n_overlaps", F.lit(0).cast("long")))
     return counted.withColumn(times, F.explode(F.sequence(F.lit(1), times))).drop(times)
 
 

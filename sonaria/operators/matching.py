@@ -8,56 +8,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonaria.functions.kernels import assign
+from sonaria.operators.intervals import overlap_members
 
 MATCHES = "file string, t_id long, p_id long, iou double, start_error double, end_error double"
 
 
-def _match(truth: pa.Table, pred: pa.Table) -> pa.Table:
-    schema = pa.schema([("file", pa.string()), ("t_id", pa.int64()), ("p_id", pa.int64()), ("iou", pa.float64()), ("start_error", pa.float64()), ("end_error", pa.float64())])
-    if not len(truth) or not len(pred):
-        return schema.empty_table()
-    truth, pred = (t.sort_by([("start_s", "ascending"), ("end_s", "ascending"), ("id", "ascending")]) for t in (truth, pred))
-    (t0, t1), (p0, p1) = ((t["start_s"].to_numpy(), t["end_s"].to_numpy()) for t in (truth, pred))
+def _best(t0: np.ndarray, t1: np.ndarray, p0: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(truth, prediction, iou) of the pairs with the largest total iou, of intervals that all hang together."""
     inter = np.maximum(np.minimum(t1[:, None], p1) - np.maximum(t0[:, None], p0), 0)
     union = (t1 - t0)[:, None] + (p1 - p0) - inter
     iou = np.where(union > 0, inter / np.where(union > 0, union, 1), 0)
-    # Intervals that touch no other need no assignment; the rest falls into independent runs along the time axis.
-    rows, cols = [], []
-    left = np.flatnonzero(iou.any(1))
-    seen_r, seen_c = np.zeros(len(t0), bool), np.zeros(len(p0), bool)
-    for r in left:
-        if seen_r[r]:
-            continue
-        a, b = {int(r)}, set()
-        todo = [("r", int(r))]
-        while todo:
-            side, k = todo.pop()
-            new = np.flatnonzero(iou[k] > 0) if side == "r" else np.flatnonzero(iou[:, k] > 0)
-            for x in new.tolist():
-                if side == "r" and x not in b:
-                    b.add(x)
-                    todo.append(("c", x))
-                elif side == "c" and x not in a:
-                    a.add(x)
-                    todo.append(("r", x))
-        a, b = sorted(a), sorted(b)
-        seen_r[a], seen_c[b] = True, True
-        i, j = assign(-iou[np.ix_(a, b)])
-        rows += [a[x] for x in i]
-        cols += [b[x] for x in j]
-    keep = [k for k, (i, j) in enumerate(zip(rows, cols, strict=True)) if iou[i, j] > 0]
-    rows, cols = np.array(rows, int)[keep], np.array(cols, int)[keep]
-    return pa.table([pa.array([truth["file"][0].as_py()] * len(rows), pa.string()), truth["id"].take(pa.array(rows)), pred["id"].take(pa.array(cols)), iou[rows, cols], np.abs(p0[cols] - t0[rows]), np.abs(p1[cols] - t1[rows])], schema=schema)
+    rows, cols = assign(-iou)
+    keep = iou[rows, cols] > 0
+    return rows[keep], cols[keep], iou[rows, cols][keep]
+
+
+def _match(table: pa.Table) -> pa.Table:
+    """Matches within each overlap group of a bucket of groups."""
+    schema = pa.schema([("file", pa.string()), ("t_id", pa.int64()), ("p_id", pa.int64()), ("iou", pa.float64()), ("start_error", pa.float64()), ("end_error", pa.float64())])
+    table = table.sort_by([(c, "ascending") for c in ("file", "group_id", "side", "start_s", "end_s", "id")]).combine_chunks()
+    group, side, start, end = (table[c].to_numpy() for c in ("group_id", "side", "start_s", "end_s"))
+    code = table["file"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    new = (code[1:] != code[:-1]) | (group[1:] != group[:-1])
+    cut = np.flatnonzero(np.concatenate([[True], new, [True]]))
+    n_pred = np.add.reduceat(side, cut[:-1])
+    both = (n_pred > 0) & (n_pred < np.diff(cut))
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for a, b, n in zip(cut[:-1][both], cut[1:][both], n_pred[both], strict=True):
+        m = b - n
+        i, j, iou = _best(start[a:m], end[a:m], start[m:b], end[m:b])
+        found.append((a + i, m + j, iou))
+    t, p, iou = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table([table["file"].take(pa.array(t)), table["id"].take(pa.array(t)), table["id"].take(pa.array(p)), pa.array(iou), pa.array(np.abs(start[p] - start[t])), pa.array(np.abs(end[p] - end[t]))], schema=schema)
 
 
 def best_matches(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """The matching of each file with the largest total iou, before any threshold. Both: file, id, start_s, end_s.
 
-    Pairs below a threshold are dropped afterwards, so one matching serves all thresholds.
-    """
+    Pairs below a threshold are dropped afterwards, so one matching serves all thresholds. Only intervals that hang
+    together by overlaps bear on one another: a file is cut into such groups, which are dealt into buckets."""
     cols = ["file", "id", "start_s", "end_s"]
-    typed = [d.select(F.col("file").cast("string").alias("file"), F.col("id").cast("long").alias("id"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s")).select(*cols) for d in (truth, pred)]
-    return typed[0].groupBy("file").cogroup(typed[1].groupBy("file")).applyInArrow(_match, MATCHES)
+    typed = [
+        d.select(F.col("file").cast("string").alias("file"), F.col("id").cast("long").alias("id"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s")).select(*cols, F.lit(k).cast("long").alias("side"))
+        for k, d in enumerate((truth, pred))
+    ]
+    both = overlap_members(typed[0].unionByName(typed[1])).select(*cols, "side", "group_id")
+    buckets = 4 * int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.groupBy(F.pmod(F.xxhash64("file", "group_id"), F.lit(buckets)).alias("bucket")).applyInArrow(_match, MATCHES)
 
 
 def unmatched(df: DataFrame, matches: DataFrame, key: str, threshold: float) -> DataFrame:

@@ -115,6 +115,8 @@ def test_repeated_rows_count_each(spark):
     g, p = frame(spark, [(0, 4), (10, 20)]), frame(spark, [(1, 2), (3, 5), (19, 21)])
     g = g.unionByName(g.filter("id = 0"))
     assert rows(iv.overlap_counts(g, p), "id", "n_overlaps") == [(0, 2), (0, 2), (1, 1)]
+    far = frame(spark, [(0, 4), (10, 20), (90, 95)])
+    assert rows(iv.overlap_counts(far.unionByName(far), p, cell=3.0), "id", "n_overlaps") == [(0, 2), (0, 2), (1, 1), (1, 1), (2, 0), (2, 0)]
     assert iv.overlap_counts(g, p.limit(0)).filter("n_overlaps = 0").count() == 3
 
 
