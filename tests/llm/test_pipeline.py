@@ -101,3 +101,46 @@ def test_empty(spark, folder, tmp_path):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_stages_against_brute_force(spark, folder):
+    """Each stage's rows again, from what the stage before it left: links, passages and pseudonyms by brute force."""
+    import test_decontaminate
+    import test_jaccard
+    import test_pii
+
+    from sonaria.llm import pii
+
+    docs = pipeline.toxicity(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    classes = test_jaccard.brute([(k, t) for k, (_, t) in enumerate(rows)])  # by place, so that every row has an id
+    best = {}
+    for k, least, *_ in classes:
+        d = rows[k][0]
+        best.setdefault(least, []).append((d is None, d or 0, k))
+    want = Counter(rows[min(group)[2]] for group in best.values())
+    alike = {(min(group)[:2], group[0][0]) for group in best.values()}
+    assert len(alike) == len(best)
+    docs = pipeline.near_duplicates(spark, docs, folder)
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == want
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    left = list(want)
+    hit = [n > 0 for _, _, n, _ in test_decontaminate.brute(left, items, 10)]
+    want = Counter(row for row, h in zip(left, hit, strict=True) if not h)
+    docs = pipeline.decontamination(spark, docs, folder)
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == want
+
+    key = pii.key_of(spark)
+    want = Counter((d, t and re.sub(pii.ANY, lambda m: test_pii.brute(key, m[0]), t)) for d, t in want)
+    docs = pipeline.pseudonyms(spark, docs, folder)
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == want
+
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    size = Counter()
+    for r in pipeline.packed(spark, docs, folder).collect():
+        size[r.doc_id] += r.length
+    assert size == Counter({d: len(tokens.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in want})
