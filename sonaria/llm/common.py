@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: The engine's own bound is for each batch that goes to Python.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Rows here can have megabytes: writers look at the size of what they hold at each row, and hold little.
+PACKED = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
+
 _own: dict[str, str] = {}
 _made: list[str] = []
 
@@ -97,7 +100,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**PACKED).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
