@@ -114,7 +114,7 @@ def estimated(docs: DataFrame) -> int:
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     if size < 1 << 60:
         return size
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
 def buckets(docs: DataFrame, each: int = 16 << 20) -> int:

@@ -12,6 +12,7 @@ batch is merge-joined with where the runs lie.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Callable
@@ -46,6 +47,7 @@ def blobs(column: pa.ChunkedArray) -> list[pa.Buffer | None]:
     return [x.as_buffer() if x.is_valid else None for x in column]
 
 
+@functools.lru_cache(maxsize=4)
 def range_ends(ranges: int) -> np.ndarray:
     """The first hash of each range but the first."""
     return np.array([(i << 64) // ranges + 1 for i in range(1, ranges)], dtype=U64)
@@ -54,7 +56,7 @@ def range_ends(ranges: int) -> np.ndarray:
 def pieces(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
     """(range, slice) of sorted keys, without empty ones."""
     cut = np.concatenate([[0], np.searchsorted(keys, range_ends(ranges)), [len(keys)]])
-    return [(t, slice(int(cut[t]), int(cut[t + 1]))) for t in range(ranges) if cut[t] < cut[t + 1]]
+    return [(int(t), slice(int(cut[t]), int(cut[t + 1]))) for t in np.flatnonzero(cut[:-1] < cut[1:])]
 
 
 def merge(keys: list[np.ndarray], counts: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +134,8 @@ class RunStore:
         self.spark, self.path, self.ranges, self.fanout, self.live, self.n, self.merged = spark, path, ranges, fanout, live, n, merged
         self.table = f"runs_{uuid.uuid4().hex}"
         columns = "t int, keys binary, counts binary, weights binary, level int, seq int"
-        spark.sql(f"create table {self.table} ({columns}) using parquet partitioned by (level, seq) clustered by (t) into {ranges} buckets location '{path}/runs'")
+        buckets = min(ranges, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+        spark.sql(f"create table {self.table} ({columns}) using parquet partitioned by (level, seq) clustered by (t) into {buckets} buckets location '{path}/runs'")
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, ranges: int, fanout: int = 4, merged: Callable = merge) -> RunStore:
