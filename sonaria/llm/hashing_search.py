@@ -18,6 +18,7 @@ of some thousand vectors differ in about 0.4 of the bits, others in half: in
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -31,6 +32,8 @@ from sonaria.llm.common import bound_batches, kept
 
 #: Bits of a word of a code, and words of a substring.
 WORD, PER = 64, 2
+#: How many times fewer probes than values of an index are looked up.
+LOOKED = 16
 #: Principal components that a rotation turns at most.
 TURNED = 256
 SHARD, QUERIES, SAMPLE = 8192, 16384, 4096
@@ -41,6 +44,25 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
 
 
+def _names(values: np.ndarray) -> np.ndarray:
+    """Rows of words as byte strings, which have the order of the rows."""
+    return np.ascontiguousarray(values.astype(">u8")).view(f"S{8 * values.shape[1]}").ravel()
+
+
+@functools.lru_cache(maxsize=8)
+def flips(words: int, far: int) -> np.ndarray:
+    """A row of words for every choice of up to `far` bits, those bits set."""
+    out = np.zeros((sum(comb(WORD * words, k) for k in range(far + 1)), words), np.uint64)
+    at = 0
+    for k in range(far + 1):
+        chosen = np.array(list(combinations(range(WORD * words), k)), np.int64).reshape(comb(WORD * words, k), k)
+        rows = at + np.arange(len(chosen))
+        for bit in chosen.T:
+            out[rows, bit // WORD] |= np.uint64(1) << (bit % WORD).astype(np.uint64)
+        at += len(chosen)
+    return out
+
+
 class Codes:
     """Learned codes: `tables` rotations of the principal components, of the first TURNED if there are more, a bit for
     each coordinate."""
@@ -94,20 +116,15 @@ class Shard:
             value, number = np.unique(codes[:, a:b], axis=0, return_inverse=True)
             number = number.ravel()
             order = np.argsort(number, kind="stable")
-            self.tables.append((value, np.searchsorted(number[order], np.arange(len(value) + 1)), order))
+            self.tables.append((value, _names(value), np.searchsorted(number[order], np.arange(len(value) + 1)), order))
 
     def probed(self, table: int, word: np.ndarray, far: int) -> np.ndarray:
-        """Codes whose substring differs from word by at most `far` bits. Where there are fewer such substrings than the
-        index has, each is looked up, else each of the index is compared."""
-        value, first, order = self.tables[table]
-        bits = WORD * value.shape[1]
-        if sum(comb(bits, k) for k in range(far + 1)) < len(value):
-            flips = [np.array(f, np.int64) for k in range(far + 1) for f in combinations(range(bits), k)]
-            probes = np.repeat(word[None], len(flips), 0)
-            for p, f in zip(probes, flips, strict=True):
-                np.bitwise_xor.at(p, f // WORD, np.uint64(1) << (f % WORD).astype(np.uint64))
-            named = [np.ascontiguousarray(x.astype(">u8")).view(f"V{8 * value.shape[1]}").ravel() for x in (value, probes)]
-            k = np.minimum(np.searchsorted(*named), len(value) - 1)
+        """Codes whose substring differs from word by at most `far` bits. Where there are LOOKED times fewer such
+        substrings than the index has, each is looked up, else each of the index is compared, which costs less."""
+        value, names, first, order = self.tables[table]
+        if LOOKED * sum(comb(WORD * value.shape[1], k) for k in range(far + 1)) < len(value):
+            probes = word ^ flips(value.shape[1], far)
+            k = np.minimum(np.searchsorted(names, _names(probes)), len(value) - 1)
             near = np.unique(k[(value[k] == probes).all(1)])
         else:
             near = np.flatnonzero(distance(value, word) <= far)
