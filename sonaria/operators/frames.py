@@ -121,18 +121,32 @@ def extrapolate(df: DataFrame, value: str, span: int = 10, low: float = 8.0, hig
     return d.withColumn(value, out.otherwise(F.coalesce(F.col(value), F.col("_i"), F.col("_v0")))).select(*df.columns)
 
 
+def stretch(df: DataFrame, keys: tuple[str, ...], value: str, t: Column, n: Column) -> DataFrame:
+    """(keys, frame, value): series of frames 0 to t - 1 as n frames, ends on ends, linear in between.
+
+    A frame makes the new ones that lie on it or before the next frame, which a window brings along: a series moves
+    once, and what it becomes doesn't move. A frame without a next one makes nothing between, repeated ones all pairs.
+    """
+    w = Window.partitionBy(*keys).orderBy("frame")
+    here, ahead = (F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rangeBetween(i, i)) for i in (0, 1))
+    d = df.select(*keys, F.col("frame").cast("long").alias("_k"), F.col(value).alias("_v0"), t.cast("long").alias("_t"), n.cast("long").alias("_n"), here.alias("_here"), ahead.alias("_ahead"))
+    k, t, n, f = (F.col(c) for c in ("_k", "_t", "_n", "frame"))
+    spread = (t > 1) & (n > 1)
+    first = F.when(spread, F.ceil(k * (n - 1) / (t - 1))).otherwise(F.lit(0))
+    last = F.when(spread, F.least(F.ceil((k + 1) * (n - 1) / (t - 1)), n) - 1).otherwise(n - 1)
+    inside = (k >= 0) & (k < F.when(spread, t).otherwise(F.lit(1))) & (first <= last)
+    d = d.withColumn("frame", F.explode(F.when(inside, F.sequence(first, last))))
+    d = d.withColumn("_pos", F.when(spread, f * (t - 1) / (n - 1)).otherwise(F.lit(0.0)))
+    d = d.select(*keys, "frame", "_v0", (F.col("_pos") - k).alias("_part"), F.explode(F.when(F.col("_pos") == k, F.col("_here")).otherwise(F.col("_ahead"))).alias("_b"))
+    return d.select(*keys, f.cast("int").alias("frame"), (F.col("_v0") + (F.col("_b.v") - F.col("_v0")) * F.col("_part")).alias(value))
+
+
 def resample(df: DataFrame, value: str, n: Column | int) -> DataFrame:
-    """(file, frame, value): the series stretched to n frames, ends on ends, linear in between."""
-    size = df.groupBy("file").agg(F.count("*").alias("m"))
-    n = F.lit(n) if isinstance(n, int) else n
-    grid = size.select("file", "m", n.alias("n")).withColumn("frame", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pos = F.when(F.col("n") > 1, F.col("frame") * (F.col("m") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
-    grid = grid.withColumn("pos", pos).withColumns({"lo": F.floor("pos"), "hi": F.ceil("pos")})
-    src = df.select("file", F.col("frame").alias("k"), F.col(value).alias("v"))
-    lo = src.select("file", F.col("k").alias("lo"), F.col("v").alias("v0"))
-    hi = src.select("file", F.col("k").alias("hi"), F.col("v").alias("v1"))
-    j = grid.join(lo, ["file", "lo"]).join(hi, ["file", "hi"])
-    return j.select("file", "frame", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("lo"))).alias(value))
+    """(file, frame, value): the series stretched to n frames, ends on ends, linear in between. n may come from m, the
+    number of frames of the file."""
+    whole = by_file().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = df.filter("file is not null").select("file", "frame", value).withColumn("m", F.count("*").over(whole))
+    return stretch(d, ("file",), value, F.col("m"), F.lit(n) if isinstance(n, int) else n)
 
 
 def split_at_valleys(regions: DataFrame, frames: DataFrame, score: str, longest: float, dt: float) -> DataFrame:

@@ -109,6 +109,21 @@ def test_resample(spark):
     assert np.allclose(got, np.interp(np.linspace(0, 1, 25), np.linspace(0, 1, 10), np.arange(10.0) ** 2))
 
 
+def test_resample_joins_nothing(spark):
+    """Repeated, missing and unknown frames make what pairs of them make; what is stretched is never sent about."""
+    rows = [("a", 0, 1.0), ("a", 1, 3.0), ("a", 1, 5.0), ("a", 2, None), ("b", 0, 2.0), ("b", 2, 4.0), ("b", None, 9.0), (None, 0, 7.0), ("c", 0, 6.0)]
+    out = fr.resample(spark.createDataFrame(rows, "file string, frame int, v double"), "v", 5)
+    want = []
+    for file in ("a", "b", "c"):
+        own = [x for x in rows if x[0] == file]
+        for f in range(5):
+            pos = f * (len(own) - 1) / 4
+            pairs = [(x[2], y[2]) for x in own for y in own if (x[1], y[1]) == (pos // 1, -(-pos // 1))]
+            want += [(file, f, None if None in p else p[0] + (p[1] - p[0]) * (pos % 1)) for p in pairs]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def tone(f0, seconds, rate=4000, vibrato=1.0):
     t = np.arange(int(seconds * rate)) / rate
     f = f0 + vibrato * np.sin(2 * np.pi * 1.1 * t)
