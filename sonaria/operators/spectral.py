@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonaria.functions import kernels
+from sonaria.operators.frames import stretch
 
 
 def dft(df: DataFrame, key: str, array: str, n: int) -> DataFrame:
@@ -77,16 +78,18 @@ def apply_mask(spec: DataFrame, mask: DataFrame, *cell: str) -> DataFrame:
 
 def upsample(mask: DataFrame, factor: int, *keys: str) -> DataFrame:
     """A mask stretched `factor` times along frames, ends on ends: frame f takes the value at f (T - 1) / (factor T - 1),
-    linear in between."""
-    size = mask.groupBy(*keys).agg((F.max("frame") + 1).alias("t"))
-    grid = size.withColumn("f", F.explode(F.sequence(F.lit(0), F.col("t") * factor - 1)))
-    grid = grid.withColumn("pos", F.when(F.col("t") * factor > 1, F.col("f") * (F.col("t") - 1) / (F.col("t") * factor - 1)).otherwise(0.0))
-    grid = grid.withColumns({"lo": F.floor("pos"), "hi": F.ceil("pos")})
+    linear in between. Columns that are not keys tell series with one T apart."""
     rest = [c for c in mask.columns if c not in (*keys, "frame", "mask")]
-    a = mask.select(*keys, F.col("frame").alias("lo"), *rest, F.col("mask").alias("m0"))
-    b = mask.select(*keys, F.col("frame").alias("hi"), *rest, F.col("mask").alias("m1"))
-    j = grid.join(a, [*keys, "lo"]).join(b, [*keys, "hi", *rest])
-    return j.select(*keys, F.col("f").cast("int").alias("frame"), *rest, (F.col("m0") + (F.col("m1") - F.col("m0")) * (F.col("pos") - F.col("lo"))).alias("mask"))
+    for c in (*keys, *rest):
+        mask = mask.filter(F.col(c).isNotNull())
+    top = F.max(F.col("frame").cast("long"))
+    if rest:
+        size = mask.groupBy(*keys).agg(top.alias("_top"))
+        sized = mask.join(size, [*keys]) if keys else mask.crossJoin(size)
+    else:
+        sized = mask.withColumn("_top", top.over(Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    t = F.col("_top") + 1
+    return stretch(sized, (*keys, *rest), "mask", t, t * factor).select(*keys, "frame", *rest, "mask")
 
 
 def power(array: str) -> Column:

@@ -27,6 +27,23 @@ def test_pitch_of_tones():
     assert k.pyin(noise, 4000, 8, 50, 2048, 256)[1].mean() < 0.3
 
 
+def test_long_mask_stretches(spark):
+    """Positions in a long mask pass 31 bits; no join sends the stretched grid about."""
+    n = 24_000
+    out = sp.upsample(spark.range(n).select(F.lit(7).alias("key"), F.col("id").cast("int").alias("frame"), (F.col("id") % 10).cast("double").alias("mask")), 4, "key")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.orderBy("frame").toPandas()
+    assert list(got.frame) == list(range(4 * n)) and set(got.key) == {7}
+    assert np.allclose(got["mask"], np.interp(np.arange(4 * n) * (n - 1) / (4 * n - 1), np.arange(n), np.arange(n) % 10))
+
+
+def test_masks_of_bins_stretch_apart(spark):
+    rows = [("a", 0, 0, 1.0), ("a", 1, 0, 2.0), ("a", 0, 1, 5.0), ("a", 1, 1, 5.0), ("b", 0, 0, 4.0)]
+    out = sp.upsample(spark.createDataFrame(rows, "file string, frame int, bin int, mask double"), 2, "file")
+    got = sorted((x.file, x.bin, x.frame, round(x["mask"], 6)) for x in out.collect())
+    assert got == [("a", 0, 0, 1.0), ("a", 0, 1, 1.333333), ("a", 0, 2, 1.666667), ("a", 0, 3, 2.0), *(("a", 1, f, 5.0) for f in range(4)), ("b", 0, 0, 4.0), ("b", 0, 1, 4.0)]
+
+
 def test_assignment():
     r = np.random.default_rng(2)
     for n, m in itertools.product(range(1, 6), range(1, 6)):
