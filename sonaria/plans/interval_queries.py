@@ -151,8 +151,9 @@ def report_lines(spark, d):
 
 
 def selection_ids(spark, d):
-    t = v.intervals(spark, d).filter("event_type = 'signup'").select("file", "start_s", "end_s", F.lit("rumble").alias("call_type"), (F.col("value") / 7).alias("confidence"), F.col("value").alias("median_f0_hz"))
-    return annotations.selection_table(t).select("Selection", "Sound_file", F.floor("Start_time").alias("start_second"))
+    """Seconds are those of the times themselves, not of the rounded ones of a selection table."""
+    t = annotations.numbered(v.intervals(spark, d).filter("event_type = 'signup'").select("file", "start_s", "end_s"))
+    return t.select("Selection", F.col("file").alias("Sound_file"), F.floor("start_s").alias("start_second"))
 
 
 def dummy_annotations(spark, d):

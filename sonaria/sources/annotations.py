@@ -91,13 +91,20 @@ def dummy_annotations(files: DataFrame, n: int = 5, start: float = 2.0, end: flo
     return files.select("file").orderBy("file").limit(n).select("file", F.lit(start).alias("start_s"), F.lit(end).alias("end_s"))
 
 
+def numbered(detections: DataFrame) -> DataFrame:
+    """Detections (file, start_s, end_s and more) with Selection, their number in order of file, start and end, missing
+    ones last. The numbers come from each file's count, so files don't meet in one task."""
+    d = detections.withColumn("_at", F.when(F.col("file").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("file"))))
+    base = running_before(d.groupBy("_at").agg(F.count("*").alias("n")), "_at", "n", "_before").select("_at", "_before")
+    k = F.row_number().over(Window.partitionBy("_at").orderBy(F.asc_nulls_last("start_s"), F.asc_nulls_last("end_s")))
+    d = d.withColumn("_k", k).join(base, "_at")
+    return d.select((F.col("_before") + F.col("_k")).cast("int").alias("Selection"), *detections.columns)
+
+
 def selection_table(detections: DataFrame) -> DataFrame:
     """Detections (file, start_s, end_s, call_type, confidence, median_f0_hz) as a numbered selection table in order
-    of file and start. The numbers come from each file's count, so files don't meet in one task."""
-    base = running_before(detections.groupBy("file").agg(F.count("*").alias("n")), "file", "n", "base").select("file", "base")
-    k = F.row_number().over(Window.partitionBy("file").orderBy("start_s", "end_s"))
-    d = detections.withColumn("k", k).join(base, "file")
-    return d.select((F.col("base") + F.col("k")).cast("int").alias("Selection"), F.col("file").alias("Sound_file"), F.bround("start_s", 4).alias("Start_time"), F.bround("end_s", 4).alias("End_time"), F.col("call_type").alias("Call_type"), F.bround("confidence", 4).alias("Confidence"), F.bround("median_f0_hz", 2).alias("Median_F0_Hz"))
+    of file and start."""
+    return numbered(detections).select("Selection", F.col("file").alias("Sound_file"), F.bround("start_s", 4).alias("Start_time"), F.bround("end_s", 4).alias("End_time"), F.col("call_type").alias("Call_type"), F.bround("confidence", 4).alias("Confidence"), F.bround("median_f0_hz", 2).alias("Median_F0_Hz"))
 
 
 def write_selections(table: DataFrame, path: str) -> None:

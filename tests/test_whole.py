@@ -80,6 +80,15 @@ def test_chunk_for_every_call(spark, events, folder):
     assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
 
 
+def test_selections_keep_their_second(spark, tmp_path):
+    """A start less than 0.00005 s before a full second is in the second before it; rows without a file or a time come last."""
+    at = [START + datetime.timedelta(seconds=5, microseconds=-20), START + datetime.timedelta(seconds=9), None, START + datetime.timedelta(seconds=7), START + datetime.timedelta(seconds=3)]
+    rows = [(i, user, ts, "signup", 1.0) for i, (user, ts) in enumerate(zip((1, 0, 0, None, 0), at, strict=True))]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(x) for x in catalog.QUERIES["selection_ids"](spark, str(tmp_path)).orderBy("Selection").collect()]
+    assert got == [(1, "0", 3), (2, "0", 9), (3, "0", None), (4, "1", 4), (5, None, 7)]
+
+
 def test_every_vector_is_clustered(spark, tmp_path):
     """Seventy groups of eight vectors far apart: a sample would break them up."""
     r = np.random.default_rng(5)
