@@ -24,9 +24,9 @@ def _best(t0: np.ndarray, t1: np.ndarray, p0: np.ndarray, p1: np.ndarray) -> tup
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """Matches within each overlap group of a bucket of groups."""
+    """Matches within each overlap group of a bucket of groups. What comes first takes the first of equal pairs."""
     schema = pa.schema([("file", pa.string()), ("t_id", pa.int64()), ("p_id", pa.int64()), ("iou", pa.float64()), ("start_error", pa.float64()), ("end_error", pa.float64())])
-    table = table.sort_by([(c, "ascending") for c in ("file", "group_id", "side", "start_s", "end_s", "id")]).combine_chunks()
+    table = table.sort_by([*((c, "ascending") for c in ("file", "group_id", "side")), ("id", "descending"), ("start_s", "ascending"), ("end_s", "ascending")]).combine_chunks()
     group, side, start, end = (table[c].to_numpy() for c in ("group_id", "side", "start_s", "end_s"))
     code = table["file"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     new = (code[1:] != code[:-1]) | (group[1:] != group[:-1])
@@ -45,7 +45,8 @@ def _match(table: pa.Table) -> pa.Table:
 def best_matches(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """The matching of each file with the largest total iou, before any threshold. Both: file, id, start_s, end_s.
 
-    Pairs below a threshold are dropped afterwards, so one matching serves all thresholds. Only intervals that hang
+    Pairs below a threshold are dropped afterwards, so one matching serves all thresholds. Between pairs of the same iou
+    the larger ids are taken, however rows are dealt. Only intervals that hang
     together by overlaps bear on one another: a file is cut into such groups, which are dealt into buckets."""
     cols = ["file", "id", "start_s", "end_s"]
     typed = [

@@ -23,6 +23,19 @@ def test_iou(spark):
     assert [round(r.x, 9) for r in df.select(iv.iou("a", "b", "c", "d").alias("x")).collect()] == [round(1 / 3, 9), 0, 0]
 
 
+def test_equal_matches_take_the_larger_ids(spark):
+    """Pairs of the same iou, whatever the order of times."""
+    cases = {
+        "two truths": ([(0, 1, 11), (1, 50, 60)], [(7, 0, 600)], [(1, 7)]),
+        "the later first": ([(0, 50, 60), (1, 1, 11)], [(7, 0, 600)], [(1, 7)]),
+        "two predictions": ([(0, 0, 100)], [(7, 10, 15), (8, 40, 45)], [(0, 8)]),
+        "three and two": ([(0, 0, 10), (1, 50, 60), (2, 90, 100)], [(7, 0, 300), (8, 0, 300)], [(1, 7), (2, 8)]),
+        "two and three": ([(0, 0, 100), (1, 0, 100)], [(7, 10, 15), (8, 40, 45), (9, 60, 65)], [(0, 8), (1, 9)]),
+    }
+    sides = [spark.createDataFrame([(f, i, float(a), float(b)) for f, c in cases.items() for i, a, b in c[k]], SCHEMA) for k in (0, 1)]
+    assert rows(matching.best_matches(*sides), "file", "t_id", "p_id") == sorted((f, *pair) for f, c in cases.items() for pair in c[2])
+
+
 def test_touching_is_no_overlap(spark):
     df = frame(spark, [(0, 1), (1, 2)])
     assert iv.overlap_groups(df).count() == 0
