@@ -25,6 +25,25 @@ def sigmoid(c: str | Column) -> Column:
     return 1 / (1 + F.exp(-_col(c)))
 
 
+def one_decimal(c: str | Column) -> Column:
+    """A double as text with one decimal, rounded by its binary value, half to even, as other languages' %.1f.
+
+    format_string rounds the shortest decimal that stands for a value, half up; it writes what has no fraction (from
+    2**52 on) or is no number."""
+    x = _col(c).cast("double")
+    whole = F.floor(F.abs(x))
+    part = F.abs(x) - whole
+    # Ten times the fraction in two parts, both of them exact: its first 20 bits, and the rest.
+    head = F.floor(part * (1 << 20)) / (1 << 20)
+    rest, tenths = (part - head) * 10, F.floor(head * 10)
+    short = F.lit(0.5) - (head * 10 - tenths)
+    up = (rest > short) | ((rest == short) & (tenths % 2 == 1))
+    digit = tenths + up.cast("long")
+    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, (whole + (digit == 10).cast("long")).cast("string"), F.lit("."), (digit % 10).cast("string"))
+    return F.when(F.abs(x) < float(1 << 52), text).otherwise(F.format_string("%.1f", x))
+
+
 def basename(c: str | Column) -> Column:
     return F.substring_index(F.trim(_col(c)), "/", -1)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonaria.functions import kernels
+from sonaria.functions.scalars import one_decimal
 
 # The texts of the rules.
 ONSETS = ("explosive onset, decaying", "gradual buildup, strong finish", "steady sustained", "gradual onset, gradual offset")
@@ -30,8 +31,8 @@ HARMONICS = (
     "Moderate harmonic content (%d harmonics) suggests a typical mid-range recording distance.",
     "Limited harmonics (%d) suggest either a distant recording or a low-intensity vocalization.",
 )
-MODULATED, UNMODULATED, UNSURE, SILENT = "modulated (%.1f Hz range)", "stable", "insufficient data", "silent"
-SENTENCE = ("This ", " (", "s, F0=%.1f Hz) is consistent with ", ". ", " ", " Temporal envelope: ", ". Frequency modulation: ", ".")
+MODULATED, UNMODULATED, UNSURE, SILENT = "modulated (%s Hz range)", "stable", "insufficient data", "silent"
+SENTENCE = ("This ", " (", "s, F0=%s Hz) is consistent with ", ". ", " ", " Temporal envelope: ", ". Frequency modulation: ", ".")
 
 
 def onset_profile(onset: str, sustain: str, offset: str, loudest: str) -> Column:
@@ -46,7 +47,7 @@ def onset_profile(onset: str, sustain: str, offset: str, loudest: str) -> Column
 
 
 def modulation(voiced: str, median: str, spread: str) -> Column:
-    text = F.format_string(MODULATED, F.col(spread))
+    text = F.format_string(MODULATED, one_decimal(spread))
     return F.when(F.col(voiced) <= 5, F.lit(UNSURE)).when(F.col(spread) > F.col(median) * 0.15, text).otherwise(F.lit(UNMODULATED))
 
 
@@ -68,7 +69,7 @@ def harmonic_note(count: str) -> Column:
 
 def description(kind: str = "clip_type") -> Column:
     """A clip's features in words. An invalid clip says so."""
-    pitch = F.format_string(SENTENCE[2], F.col("fundamental_hz"))
+    pitch = F.format_string(SENTENCE[2], one_decimal("fundamental_hz"))
     parts = [F.col(kind), F.col("duration_s").cast("string"), caller_class("fundamental_hz"), social_class("duration_s"), harmonic_note("harmonic_count"), F.col("onset_profile"), F.col("frequency_modulation")]
     between = [F.lit(SENTENCE[1]), pitch, *map(F.lit, SENTENCE[3:])]
     text = F.concat(F.lit(SENTENCE[0]), *(x for pair in zip(parts, between, strict=True) for x in pair))

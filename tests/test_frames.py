@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonaria.operators import detector
+from sonaria.functions import scalars
+from sonaria.operators import detector, features
 from sonaria.operators import frames as fr
 
 
@@ -124,6 +125,16 @@ def test_resample_joins_nothing(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_one_decimal_is_that_of_the_binary_value(spark):
+    r = random.Random(8)
+    xs = [34.25, 16.15, 34.75, 0.05, 0.95, 9.95, 0.25, 1e-9, 0.0, -0.0, -0.04, -34.25, 99.95, 4503599627370495.5, *(r.randrange(400_000) / 400 for _ in range(3000)), *(r.uniform(0, 50) for _ in range(500)), *(k / 20 for k in range(-400, 2000))]
+    xs += [float(np.nextafter(x, s)) for x in xs for s in (-np.inf, np.inf)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalars.one_decimal("x").alias("t"))
+    assert [(x.x, x.t) for x in df.collect() if x.t != f"{x.x:.1f}"] == []
+    got = spark.createDataFrame([(7, 20.0, x) for x in (34.25, 16.15)], "n int, m double, g double").select(features.modulation("n", "m", "g").alias("t")).collect()
+    assert [x.t for x in got] == ["modulated (34.2 Hz range)", "modulated (16.1 Hz range)"]
+
+
 def tone(f0, seconds, rate=4000, vibrato=1.0):
     t = np.arange(int(seconds * rate)) / rate
     f = f0 + vibrato * np.sin(2 * np.pi * 1.1 * t)
